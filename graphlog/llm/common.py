@@ -44,16 +44,36 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 class Cache(dict):
-    """A bounded memo: ``make`` fills it on a miss; over ``limit`` entries it starts anew."""
+    """A bounded memo in two generations: ``make`` fills it on a miss; when the young one is full it becomes the old.
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    What is used often is always in one of them, so a stream of words that occur once can't push it out.
+    """
+
+    def __init__(self, make, limit: int = 100_000, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
+
+
+def below(text: str, limit: str) -> bool:
+    """Whether all characters of a text are below ``limit``, which is beyond Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) < limit
+    return True

@@ -7,6 +7,8 @@ all are open, the fullest closes first.
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,37 +18,96 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, pick, tokenizer_path
+from .common import Cache, below, pick, tokenizer_path
 
 CAPACITY = 2048
 OPEN_BINS = 1 << 16
 #: So many pieces wait and enter longest first; the packing stays online over any number of them.
 LOOKAHEAD = 1 << 15
 END = b"\0\0\0\0"
-_TOKENIZERS: dict[str, Cache] = {}
+_TOKENIZERS: dict[str, Words] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _word_ids(name: str) -> Cache:
-    """Chunk between ASCII white space -> its ids as little-endian uint32; the vocabulary has no token across white space."""
-    if name not in _TOKENIZERS:
-        from tokenizers import Tokenizer
+#: Below this, lower-casing a text is lower-casing its characters one by one, as the tokenizer does.
+PLAIN_CASE = "\u0370"
+_CLOSED = re.compile(r"(?<=[a-zß-öø-ÿ])([^\s\w]+)(?=[ \n])")
 
-        tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
 
-        def make(chunk: bytes) -> bytes:
-            return np.asarray(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+class Words:
+    """Ids of chunks between ASCII white space, which no token crosses, as little-endian uint32."""
 
-        _TOKENIZERS[name] = Cache(make)
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+        lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.simple = lower and bool(self.last.any())
+        #: How special tokens begin; a text with one is left as it is.
+        self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.memo = Cache(self._one, limit=150_000)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _one(self, chunk: bytes) -> bytes:
+        return self._ids(chunk.decode()).tobytes()
+
+    def chunks(self, text: str) -> list[bytes]:
+        if self.simple and not any(mark in text for mark in self.special) and below(text, PLAIN_CASE):
+            # the tokenizer lower-cases, and it parts letters from the marks that close a chunk
+            return _CLOSED.sub(r" \1", text.lower()).encode().split()
+        return text.encode().split()
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Memo entries for many chunks; those of letters alone are one word each and go through in one call."""
+        memo, old = self.memo, self.memo.old
+        new = [c for c in chunks if c not in memo and c not in old and len(c) <= memo.longest and c.decode().isalpha()] if self.simple else []
+        for at in range(0, len(new), 2_000):
+            part = new[at : at + 2_000]
+            ids = self._ids(b" ".join(part).decode())
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                for c, a, b in zip(part, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist(), strict=True):
+                    memo.put(c, data[a:b])
+
+    def documents(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each whole text and the closing id 0; a null text counts as empty."""
+        parts = [self.chunks(t or "") for t in texts]
+        self.learn(set(itertools.chain.from_iterable(parts)))
+        get = self.memo.__getitem__
+        return [b"".join(map(get, p)) + END for p in parts]
+
+
+def words(name: str) -> Words:
+    if name not in _TOKENIZERS:
+        _TOKENIZERS[name] = Words(name)
     return _TOKENIZERS[name]
 
 
 def document_ids(text: str | None, name: str) -> bytes:
-    """The ids of a whole text and the closing id 0, as little-endian uint32; a null text counts as empty."""
-    return b"".join(map(_word_ids(name).__getitem__, (text or "").encode().split())) + END
+    """The ids of one whole text and the closing id 0, as little-endian uint32."""
+    return words(name).documents([text])[0]
+
+
+#: Texts are tokenised in groups of about this many characters, so that a batch of long ones stays small.
+GROUP_CHARS = 2_000_000
+
+
+def _groups(ids: list, texts: list) -> Iterator[tuple[list, list]]:
+    at = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= GROUP_CHARS or k + 1 == len(texts):
+            yield ids[at : k + 1], texts[at : k + 1]
+            at, size = k + 1, 0
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -58,13 +119,13 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     size = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        tokens = words(tokenizer)
+        for own, texts in (g for batch in batches for g in _groups(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = document_ids(text, tokenizer)
+            for doc_id, ids in zip(own, tokens.documents(texts), strict=True):
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]

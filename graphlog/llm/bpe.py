@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
-from .common import Cache, pick, tokenizer_path
+from .common import Cache, below, pick, tokenizer_path
 
 #: White space as Unicode has it; the pattern that splits a text before the merges is public with the vocabulary.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -41,9 +41,13 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter, vocab = byte_letters(), spec["model"]["vocab"]
-        self.strings: dict[int, bytes] = {i: bytes(letter[c] for c in s) for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
+        #: The vocabulary's string of each id, unknown ids empty.
+        self.strings = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for s, i in vocab.items():
+            self.strings[i] = bytes(letter[c] for c in s)
+        for s, i in self.special.items():
+            self.strings[i] = s.encode()
         self.first = [0] * 256
         for c, b in letter.items():
             self.first[b] = vocab[c]
@@ -59,7 +63,7 @@ class Bpe:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens, which joined give the text."""
-        if text.isascii() or max(text) < SETTLED:
+        if below(text, SETTLED):
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.beyond.pre_tokenize_str(text)]
 
@@ -114,7 +118,9 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's strings one after another; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
-        return b"".join([self.strings.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.strings):
+            ids = [i for i in ids if 0 <= i < len(self.strings)]
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def load(name: str) -> Bpe:
@@ -165,11 +171,27 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
         bpe = load(tokenizer)
         for batch in batches:
             ids = batch.column(1)
-            flat, ends, valid = ids.values.to_pylist(), ids.offsets.to_pylist(), ids.is_valid().to_pylist()
-            text = [bpe.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
+            flat, ends, valid = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist(), ids.is_valid().to_pylist()
+            text = [bpe.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)]
             out = [batch.column(0), *([ids] if keep else []), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", *["ids"] * keep, "decoded"])
 
     source = pick(encoded, doc_id=id_col, ids=ids_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, {'ids array<int>, ' * keep}decoded string")
+
+
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+    """``decode(encode(docs))``: doc_id, ids, decoded, in one pass over the texts."""
+
+    def run(batches):
+        bpe = load(tokenizer)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in _groups(texts):
+                ids = [bpe.encode(t or "") for t in texts[part]]
+                decoded = [bpe.decode(np.frombuffer(i, "<i4").tolist()) for i in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part.start : part.stop], _lists(ids), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+    source = pick(docs, doc_id=id_col, text=text_col)
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, token_counts, url_filter
+from . import ann, bpe, packing, quality, token_counts, url_filter
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -22,14 +22,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"))
+    done = bpe.round_trip(_table(spark, sf_dir, "documents"))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return bpe.decode(encoded).select(
+    return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"))
 
@@ -53,5 +62,5 @@ f AS (SELECT c.page_id, c.host, c.path, arg_max(rhost || rpath, length(rhost ||
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op7_token_counts, op8_packing, op9_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op7_token_counts, op8_packing, op9_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}

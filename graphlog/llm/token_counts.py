@@ -7,6 +7,7 @@ and the number of documents ended so far across block boundaries.
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 import numpy as np
@@ -18,41 +19,56 @@ from .bpe import load
 from .common import ensure_checkpoint_dir, pick
 
 BLOCK_TOKENS = 1 << 20
-#: Documents per shard, on average; a shard is one file.
-SHARD_DOCS = 4096
 END_ID = 50256
 
 
-def with_shards(docs: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the shard of each row, which depends on its id alone (null ids: shard 0)."""
-    return docs.withColumn("shard", F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.lit(shards)), F.lit(0)).cast("int"))
+def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:
+    """Token files in ``path``/kind=tokens and, beside each, a list of its documents' ids in ``path``/kind=ids.
 
-
-def write_token_files(docs: DataFrame, path: str, *, shards: int, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:
-    """Token files under ``path``, one for each shard, its documents in the order of (doc_id, text).
-
-    Spark's own text writer makes them, so any store and any lost task is its business; the end-of-document id is
-    its line separator. Ids at or over 65536 are an error, and so is the end id inside a document.
+    Every task writes its own documents, so nothing is shuffled. Spark's own text writer makes the files, so any
+    store and any lost task is its business; the end-of-document id is its line separator. An id list has records of
+    12 bytes: little-endian int64, a mark for null, the separator. Ids of tokens over 65535 are an error; a special
+    token's string inside a text is ordinary text.
     """
     separator = np.uint16(end_id).tobytes().decode("latin-1")
 
     def run(batches):
-        bpe = load(tokenizer)
+        bpe, at = load(tokenizer), 0
+        for batch in batches:
+            ids, own = [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = np.frombuffer(bpe.encode(text or ""), "<i4")
+                if len(tokens) and (tokens == end_id).any():
+                    tokens = np.asarray([i for w in bpe.split(text) for i in bpe.merge(w.encode())], "<i4")
+                if len(tokens) and tokens.max() > 65535:
+                    raise ValueError("token ids must fit in 16 bits")
+                ids.append(tokens.astype("<u2").tobytes())
+                own.append(struct.pack("<qH", doc_id or 0, doc_id is None))
+            order = list(range(at, at + len(ids)))
+            at += len(ids)
+            for kind, values in (("ids", own), ("tokens", ids)):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ids)), pa.array(order, pa.int64()), pa.array(values, pa.binary())], ["kind", "at", "value"])
+
+    source = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = source.mapInArrow(run, "kind string, at long, value binary").sortWithinPartitions("kind", "at")
+    rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal, doc_id of the id lists in ``path``."""
+
+    def run(batches):
+        record = np.dtype([("id", "<i8"), ("null", "<u2"), ("end", "<u2")])
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                ids = np.frombuffer(bpe.encode(text or ""), "<i4")
-                if len(ids) and (ids.max() > 65535 or (ids == end_id).any()):
-                    # a special token's string inside a text is ordinary text for a token file
-                    ids = np.asarray([i for w in bpe.split(text) for i in bpe.merge(w.encode())], "<i4")
-                out.append(ids.astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["shard", "doc_id", "ids"])
-
-    source = with_shards(pick(docs, doc_id=id_col, text=text_col), shards).select("shard", "doc_id", "text")
-    kind = source.schema["doc_id"].dataType.simpleString()
-    tokens = source.mapInArrow(run, f"shard int, doc_id {kind}, ids binary")
-    dealt = tokens.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("encoding", "ISO-8859-1").option("lineSep", separator).mode("error").text(path)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(data.as_buffer(), record)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(np.arange(len(found))), pa.array(found["id"].copy(), mask=found["null"] > 0)], ["file", "ordinal", "doc_id"])
+
+    return _files(spark, path).mapInArrow(run, "file string, ordinal long, doc_id long")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
 
 
 def scan(spark: SparkSession, path: str, *, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -80,8 +96,7 @@ def scan(spark: SparkSession, path: str, *, end_id: int = END_ID, block_tokens:
                 values, kinds = columns
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["file", "block", "ends", "head", "inner", "tail"])
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    blocks = raw.mapInArrow(run, "file string, block long, ends long, head long, inner array<long>, tail long")
+    blocks = _files(spark, path).mapInArrow(run, "file string, block long, ends long, head long, inner array<long>, tail long")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # The open document's tokens before a block: heads since the last block with an end, and that block's tail.
     runs = blocks.withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0)))
@@ -95,19 +110,16 @@ def scan(spark: SparkSession, path: str, *, end_id: int = END_ID, block_tokens:
     return inside.unionByName(rest.filter("last.n > 0").select("file", F.col("last.ordinal").alias("ordinal"), F.col("last.n").alias("n_tokens")))
 
 
-def count(docs: DataFrame, *, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, **how) -> DataFrame:
+def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, **how) -> DataFrame:
     """doc_id, n_tokens of each row, counted by writing token files and scanning them for separators.
 
-    Null text counts 0 tokens; repeated rows and null ids give a row each. The files stay in ``folder`` (by default a
-    new one in the shared checkpoint folder).
+    Null text counts 0 tokens; repeated rows and null ids give a row each; an empty table gives none. The files stay
+    in ``folder`` (by default a new one in the shared checkpoint folder).
     """
     spark = docs.sparkSession
-    shards = shards or docs.count() // SHARD_DOCS + 1
     path = f"{folder or ensure_checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(docs, path, shards=shards, id_col=id_col, text_col=text_col, **how)
-    counted = scan(spark, path).select(F.regexp_extract("file", r"shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"), "ordinal", "n_tokens")
-    # Ids alone, numbered as the writer sorted them; a shard is bounded, so is each window. Equal ids with unequal
-    # texts may swap their counts only among themselves.
-    order = Window.partitionBy("shard").orderBy("doc_id")
-    numbered = with_shards(pick(docs, doc_id=id_col), shards).withColumn("ordinal", F.row_number().over(order) - 1)
-    return numbered.join(counted, ["shard", "ordinal"]).select("doc_id", "n_tokens")
+    write_token_files(docs, path, id_col=id_col, text_col=text_col, **how)
+    if not any(row for row in spark.read.format("binaryFile").load(path).select("length").head(1)):
+        return spark.createDataFrame([], "doc_id long, n_tokens long")
+    counted = scan(spark, f"{path}/kind=tokens")
+    return read_ids(spark, f"{path}/kind=ids").join(counted, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -30,8 +30,8 @@ _TOKENIZERS: dict[str, Words] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Below this, lower-casing a text is lower-casing its characters one by one, as the tokenizer does.
-PLAIN_CASE = "\u0370"
+#: Below this there are no combining marks, and lower-casing a text is lower-casing its characters one by one.
+PLAIN = "\u0300"
 _CLOSED = re.compile(r"(?<=[a-zß-öø-ÿ])([^\s\w]+)(?=[ \n])")
 
 
@@ -60,7 +60,7 @@ class Words:
         return self._ids(chunk.decode()).tobytes()
 
     def chunks(self, text: str) -> list[bytes]:
-        if self.simple and not any(mark in text for mark in self.special) and below(text, PLAIN_CASE):
+        if self.simple and not any(mark in text for mark in self.special) and below(text, PLAIN):
             # the tokenizer lower-cases, and it parts letters from the marks that close a chunk
             return _CLOSED.sub(r" \1", text.lower()).encode().split()
         return text.encode().split()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, packing, quality, token_counts, url_filter
+from . import ann, bpe, lattice_lm, packing, quality, token_counts, url_filter
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -39,6 +39,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.evaluate(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(_table(spark, sf_dir, "documents"))
 
@@ -62,5 +66,5 @@ f AS (SELECT c.page_id, c.host, c.path, arg_max(rhost || rpath, length(rhost ||
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op7_token_counts, op8_packing, op9_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op6_lattice_lm, op7_token_counts, op8_packing, op9_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}

@@ -20,12 +20,14 @@ from .common import ensure_checkpoint_dir, pick
 
 BLOCK_TOKENS = 1 << 20
 END_ID = 50256
+#: Documents to a file at most; a file is read as one row, so it has to stay far below what a row can hold.
+FILE_DOCS = 4096
 
 
 def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:
     """Token files in ``path``/kind=tokens and, beside each, a list of its documents' ids in ``path``/kind=ids.
 
-    Every task writes its own documents, so nothing is shuffled. Spark's own text writer makes the files, so any
+    Every task writes its own documents, so nothing is shuffled; both kinds are cut into files at the same documents. Spark's own text writer makes the files, so any
     store and any lost task is its business; the end-of-document id is its line separator. An id list has records of
     12 bytes: little-endian int64, a mark for null, the separator. Ids of tokens over 65535 are an error; a special
     token's string inside a text is ordinary text.
@@ -51,7 +53,7 @@ def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", tex
 
     source = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = source.mapInArrow(run, "kind string, at long, value binary").sortWithinPartitions("kind", "at")
-    rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
+    rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", FILE_DOCS).text(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

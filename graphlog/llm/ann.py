@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ _RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 def _search_block(k: int):
     def run(table: pa.Table) -> pa.Table:
         asks = table.filter(table.column("ask"))
-        rows = table.filter(pa.compute.invert(table.column("ask")))
+        rows = table.filter(pc.invert(table.column("ask")))
         if not len(asks) or not len(rows):
             return _RESULT.empty_table()
         ids, x = rows.column("vec_id").to_numpy(), _matrix(rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lattice_lm, packing, quality, secrets, token_counts, url_filter
+from . import ann, bpe, lattice_lm, packing, quality, secrets, substring_dedup, token_counts, url_filter
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -60,6 +60,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    struck = substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return struck.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _OP9 = r"""
 WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM a),
@@ -71,5 +76,5 @@ f AS (SELECT c.page_id, c.host, c.path, arg_max(rhost || rpath, length(rhost ||
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op5_secrets, op6_lattice_lm, op7_token_counts, op8_packing, op9_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op5_secrets, op6_lattice_lm, op7_token_counts, op8_packing, op9_url_filter, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}

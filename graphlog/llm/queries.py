@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lattice_lm, packing, quality, secrets, substring_dedup, token_counts, url_filter
+from . import ann, bpe, lattice_lm, ngram_join, packing, quality, secrets, substring_dedup, token_counts, url_filter
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -39,6 +39,10 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "ordinal", "start", "length", F.sha2("candidate", 256).alias("candidate_sha256"), F.round("probability", 6).alias("probability"), "secret")
@@ -76,5 +80,5 @@ f AS (SELECT c.page_id, c.host, c.path, arg_max(rhost || rpath, length(rhost ||
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op5_secrets, op6_lattice_lm, op7_token_counts, op8_packing, op9_url_filter, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_hashing, op2_bpe, op3_fertility, op4_ngram_join, op5_secrets, op6_lattice_lm, op7_token_counts, op8_packing, op9_url_filter, op10_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {"op9_url_filter": _OP9}

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +81,53 @@ def below(text: str, limit: str) -> bool:
     except UnicodeEncodeError:
         return max(text) < limit
     return True
+
+
+def text_groups(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text, so that a batch of long texts is worked off in parts."""
+    at = size = 0
+    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        size += n or 0
+        if size >= chars or k + 1 == batch.num_rows:
+            yield batch.slice(at, k + 1 - at)
+            at, size = k + 1, 0
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base, and of its inverse modulo 2**64, for exponents below n at least."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 1 << 22)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.multiply.accumulate(factors)
+    return _POWERS
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts on end, and where each text's begin (one more entry than texts).
+
+    A word's polynomial over its bytes, from one running sum over all texts, so no word becomes an object.
+    """
+    parts = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    edges = np.diff((~_SPACE[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    power, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
+    begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
+    return mix((total[ends] - total[starts]) * inverse[starts]), np.searchsorted(starts, begins)

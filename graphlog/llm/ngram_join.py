@@ -14,16 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, pick
+from .common import cut, mix, pick, text_groups, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,7 +29,6 @@ SEED = 4_211
 #: Shingles (and as many for each text as OWN) in a block of the exact verification.
 BLOCK, OWN = 100_000, 150
 NODE_BYTES = 12
-_HASHES = Cache(xxhash.xxh3_64_intdigest, limit=200_000)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,18 +40,19 @@ def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int
     return length
 
 
-def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
+def shingles(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
     """The set of ``size``-word shingles as sorted 64-bit hashes; a shorter text is one shingle, an empty one has none."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    n = len(hashes)
     size = min(size, n)
-    code = h[: n - size + 1].copy()
+    code = hashes[: n - size + 1 if n else 0].copy()
     for k in range(1, size):
-        code = code * _ODD + h[k : n - size + 1 + k]
-    code = (code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(code ^ (code >> np.uint64(29)))
+        code = code * _ODD + hashes[k : n - size + 1 + k]
+    return np.unique(mix(code))
+
+
+def text_shingles(texts: list[str | None]) -> list[np.ndarray]:
+    hashes, starts = word_hashes(texts)
+    return [shingles(hashes[a:b]) for a, b in itertools.pairwise(starts.tolist())]
 
 
 class Forest:
@@ -74,26 +71,17 @@ class Forest:
         return (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _text_groups(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    at = size = 0
-    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
-        if size >= chars or k + 1 == batch.num_rows:
-            yield batch.slice(at, k + 1 - at)
-            at, size = k + 1, 0
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text), node (digest of the words; null without words), n shingles, labels."""
 
     def run(batches):
         forest = Forest()
-        for batch in (g for b in batches for g in _text_groups(b, "text")):
+        for batch in (g for b in batches for g in text_groups(b, "text")):
             rows = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode().split()
-                if words:
-                    codes = shingles(words)
+            texts = batch.column("text").to_pylist()
+            for text, codes in zip(texts, text_shingles(texts), strict=True):
+                if len(codes):
+                    words = text.encode().split()
                     rows.append((hashlib.blake2b(b" ".join(words), digest_size=NODE_BYTES).digest(), len(codes), forest.labels(codes)))
                 else:
                     rows.append((None, 0, None))
@@ -134,8 +122,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    for batch in (g for b in batches for g in _text_groups(b, "text")):
-        codes = [shingles((t or "").encode().split()).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+    for batch in (g for b in batches for g in text_groups(b, "text")):
+        codes = [c.astype("<u8").tobytes() for c in text_shingles(batch.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.select(["node", "root", "blocks"]).columns, pa.array(codes, pa.binary())], ["node", "root", "blocks", "codes"])
 
 

@@ -22,27 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import mix, text_groups, word_hashes
 
 WINDOW = 13
 GRAM = 5
 #: Text bytes for each shard, on average.
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 8_000_000
 LEAST_SHARDS = 8
 #: Anchors and words a task gathers before it passes them on.
 GATHER = 4_000_000
-_HASHES = Cache(lambda word: xxhash.xxh3_64_intdigest(word) >> 16, limit=200_000)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(29))) >> np.uint64(16)
+    return mix(x) >> np.uint64(16)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -60,10 +56,8 @@ class Windows:
     """The windows of some texts: word hashes on end, and the runs of windows with one anchor."""
 
     def __init__(self, texts: list[str | None], window: int = WINDOW, gram: int = GRAM):
-        words = [(t or "").encode().split() for t in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.hashes = np.fromiter(map(_HASHES.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        hashes, self.starts = word_hashes(texts)
+        self.hashes, sizes = hashes >> np.uint64(16), np.diff(self.starts)
         none = np.empty(0, np.int64)
         self.run_doc = self.run_at = self.run_size = none
         self.run_anchor = np.empty(0, np.uint64)
@@ -90,15 +84,6 @@ class Windows:
         self.run_size = np.diff(np.append(first, len(at)))
 
 
-def _text_groups(batch: pa.RecordBatch, column: str, chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    at = size = 0
-    for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
-        size += n or 0
-        if size >= chars or k + 1 == batch.num_rows:
-            yield batch.slice(at, k + 1 - at)
-            at, size = k + 1, 0
-
-
 # ---------------------------------------------------------------- 1: anchors
 
 _ANCHORS = "shard int, known boolean, keys binary, counts binary, anchors binary"
@@ -140,7 +125,7 @@ def _report_anchors(shards: int):
 
     def run(batches):
         keys, anchors, held = [], [], 0
-        for batch in (g for b in batches for g in _text_groups(b, "text")):
+        for batch in (g for b in batches for g in text_groups(b, "text")):
             w = Windows(batch.column("text").to_pylist())
             keys.append(batch.column("key").to_numpy(zero_copy_only=False)[w.run_doc])
             anchors.append(w.run_anchor)
@@ -207,7 +192,7 @@ def _send_stretches(shards: int, window: int = WINDOW):
         seen: dict[bytes, list] = {}
         settled: list[tuple[int, int, int]] = []
         held = 0
-        for batch in (g for b in batches for g in _text_groups(b, "text")):
+        for batch in (g for b in batches for g in text_groups(b, "text")):
             keys, docs = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
             w = Windows(batch.column("text").to_pylist())
             wanted = [np.frombuffer(b"", "<u8")] * len(keys)
@@ -387,7 +372,7 @@ def _removed_windows(window: int = WINDOW):
 
 
 def _strike(batches, window: int = WINDOW):
-    for batch in (g for b in batches for g in _text_groups(b, "text")):
+    for batch in (g for b in batches for g in text_groups(b, "text")):
         rows = []
         for text, parts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = (text or "").encode().split()
@@ -419,19 +404,17 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
     key = F.xxhash64(doc_id, text)
     source = docs.select(row.alias("row"), doc_id.alias("doc_id"), text.alias("text"), F.when(key == 0, F.lit(1)).otherwise(key).alias("key"))
-    able = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-
+    # Both joins take the same columns of the same rows, so the texts are dealt out once and used twice.
     def gathered(rows: DataFrame, column: str) -> DataFrame:
         return rows.groupBy("key").agg(F.collect_list(column).alias(column))  # at most a document's own
 
-    reported = able.select("key", "text").mapInArrow(_report_anchors(shards), _ANCHORS)
+    reported = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("key", "text").mapInArrow(_report_anchors(shards), _ANCHORS)
     shared = gathered(reported.groupBy("shard").applyInArrow(_shared_anchors, "key long, anchors binary"), "anchors")
-    with_anchors = able.select("key", "doc_id", "text").join(shared, "key")
-    stretches = with_anchors.mapInArrow(_send_stretches(shards), _STRETCHES)
+    stretches = source.join(shared, "key").mapInArrow(_send_stretches(shards), _STRETCHES)
     spans = gathered(stretches.groupBy("shard").applyInArrow(_removed_windows(), "key long, spans binary"), "spans")
     joined = source.join(spans, "key", "left")
     schema = f"row {source.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept string"
-    return joined.select("row", "doc_id", "text", "spans").mapInArrow(_strike, schema)
+    return joined.mapInArrow(_strike, schema)
 
 
 def struck_text(text: Column, n_removed: Column, kept: Column) -> Column:

@@ -156,6 +156,15 @@ def verdict(m: tuple, band: Band) -> str | None:
     return None
 
 
+def base_failed(m: tuple, rules: Rules) -> bool:
+    """Too few words, or too many of them in windows that repeat."""
+    return m[0] < rules.least_words or 100 * m[4] > rules.most_repeated_percent * m[0]
+
+
+def band_of(text: str | None, lang: str | None, rules: Rules) -> Band:
+    return rules.bands.get(lang) or rules.bands.get(script_of(text or "")) or Band()
+
+
 OUTPUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, rejected_by string, kept boolean"
 
 
@@ -174,9 +183,7 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
             rows = []
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 m = measure(text, rules)
-                failed = m[0] < rules.least_words or 100 * m[4] > rules.most_repeated_percent * m[0]
-                band = rules.bands.get(lang) or rules.bands.get(script_of(text or "")) or Band()
-                why = verdict(m, band)
+                failed, why = base_failed(m, rules), verdict(m, band_of(text, lang, rules))
                 rows.append((*m[:9], failed, why, not failed and why is None))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], ["doc_id", *names])
@@ -184,3 +191,18 @@ def judge(docs: DataFrame, rules: Rules | None = None, *, id_col: str = "doc_id"
     source = pick(docs, doc_id=id_col, text=text_col).withColumn("lang", F.lit(None).cast("string")) if lang_col is None else pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, {OUTPUT}")
+
+
+def keep(docs: DataFrame, rules: Rules | None = None, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that pass, all columns as they are."""
+    rules = rules or Rules()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for text, lang in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), strict=True):
+                m = measure(text, rules)
+                fine.append(not base_failed(m, rules) and verdict(m, band_of(text, lang, rules)) is None)
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

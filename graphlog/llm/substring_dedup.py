@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, text_groups, word_hashes
@@ -371,29 +371,37 @@ def _removed_windows(window: int = WINDOW):
 # ---------------------------------------------------------------- 4: documents
 
 
-def _strike(batches, window: int = WINDOW):
-    for batch in (g for b in batches for g in text_groups(b, "text")):
+def _strike(whole: bool, window: int = WINDOW):
+    def run(batches):
+        for batch in batches:
+            yield from _struck(batch, whole, window)
+
+    return run
+
+
+def _struck(batch: pa.RecordBatch, whole: bool, window: int) -> Iterator[pa.RecordBatch]:
+    for part in text_groups(batch, "text"):
         rows = []
-        for text, parts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
             words = (text or "").encode().split()
             n = len(words)
-            if parts:
+            if spans:
                 change = np.zeros(n + 1, np.int64)
-                for start, size in np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).tolist():
+                for start, size in np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).tolist():
                     change[start] += 1
                     change[min(start + size + window - 1, n)] -= 1
                 keep = np.cumsum(change[:n]) == 0
                 words = list(itertools.compress(words, keep.tolist()))
-            rows.append((n, n - len(words), b" ".join(words)))
+            rows.append((n, n - len(words), text if whole and len(words) == n else b" ".join(words).decode()))
         n, gone, kept = zip(*rows, strict=True)
-        columns = [*batch.select(["row", "doc_id"]).columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        columns = [*part.select(["row", "doc_id"]).columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, shards: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, whole: bool = False, shards: int | None = None) -> DataFrame:
     """row (a struct of the columns ``keep``), doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
-    A word goes if a window that covers it also starts in a document with a smaller id. A null text has no words. A
+    With ``whole``, ``kept`` is the text itself where nothing is removed. A word goes if a window that covers it also starts in a document with a smaller id. A null text has no words. A
     document with a null id loses nothing and costs nobody anything. Repeated rows are judged alike: equal ids aren't
     smaller. An empty table gives none.
     """
@@ -414,9 +422,5 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
     spans = gathered(stretches.groupBy("shard").applyInArrow(_removed_windows(), "key long, spans binary"), "spans")
     joined = source.join(spans, "key", "left")
     schema = f"row {source.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept string"
-    return joined.mapInArrow(_strike, schema)
-
+    return joined.mapInArrow(_strike(whole), schema)
 
-def struck_text(text: Column, n_removed: Column, kept: Column) -> Column:
-    """The text as it is if nothing was removed, else the words kept."""
-    return F.when(n_removed == 0, text).otherwise(kept)

@@ -30,7 +30,7 @@ ADD = 0.1
 NATURAL = float(np.log(10))
 #: The end of a text as a token of its own; no word holds a space.
 END = " end"
-#: How many of the commonest words every executor gets; words beyond are joined, so the broadcast has a fixed bound.
+#: How many of the commonest words every executor gets at most; the others are joined, so the broadcast has a fixed bound.
 COMMON_WORDS = 100_000
 #: Distinct words a task gathers before it passes their counts on.
 GATHER = 400_000
@@ -179,7 +179,12 @@ def train(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULA
     total, distinct, ends, once = (found.pop(k, 0) or 0 for k in (-1, -2, -3, -4))
     c = np.zeros(size)
     c[list(found)] = list(found.values())
-    common = counts.filter(F.col("token") != END).orderBy(F.desc("c"), "token").limit(common_words).collect()
+    words = counts.filter(F.col("token") != END)
+    # A histogram of a few hundred bins says from which count on the words are few enough to collect.
+    bins = words.groupBy(F.floor(F.log2("c") * 16).alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("bin")).collect()
+    held = itertools.accumulate(b.n for b in bins)
+    least = [b.least for b, n in zip(bins, held, strict=True) if n <= common_words]
+    common = words.filter(F.col("c") >= least[-1]).orderBy("token").collect() if least else []
     spell = min(0.5, max(once, 1) / total) if total else 1.0
     return Trained(counts, total, distinct, ends, spell, np.log10((c + ADD) / (c.sum() + ADD * size)), [(r.token, r.c) for r in common], vocabulary)
 

@@ -30,7 +30,7 @@ from .common import mix, text_groups, word_hashes
 WINDOW = 13
 GRAM = 5
 #: Text bytes for each shard, on average.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 2_000_000
 LEAST_SHARDS = 8
 #: Anchors and words a task gathers before it passes them on.
 GATHER = 4_000_000
@@ -299,7 +299,8 @@ class FmIndex:
             symbol = text[ends[alive] - k]
             known = symbol < self.symbols
             alive, symbol = alive[known], symbol[known]
-            a, b = self.extend(low[alive], high[alive], symbol)
+            # the whole text's interval needs no rank
+            a, b = self.extend(low[alive], high[alive], symbol) if k > 1 else (self.first[symbol], self.first[symbol + 1])
             some = a < b
             alive = alive[some]
             low[alive], high[alive] = a[some], b[some]

@@ -21,7 +21,7 @@ from .common import ensure_checkpoint_dir, pick
 BLOCK_TOKENS = 1 << 20
 END_ID = 50256
 #: Documents to a file at most; a file is read as one row, so it has to stay far below what a row can hold.
-FILE_DOCS = 4096
+FILE_DOCS = 2048
 
 
 def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:
@@ -106,10 +106,13 @@ def scan(spark: SparkSession, path: str, *, end_id: int = END_ID, block_tokens:
     opened = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last_tail = F.last(F.when(F.col("ends") > 0, F.col("tail")), ignorenulls=True).over(opened)
     stitched = runs.withColumn("carried", F.coalesce(last_tail, F.lit(0)) + F.coalesce(F.sum(F.when(F.col("ends") == 0, F.col("head"))).over(same_run), F.lit(0)))
-    inside = stitched.filter("ends > 0").select("file", F.posexplode(F.concat(F.array(F.col("carried") + F.col("head")), F.col("inner"))).alias("k", "n_tokens"), "ended")
-    inside = inside.select("file", (F.col("ended") + F.col("k")).alias("ordinal"), "n_tokens")
-    rest = stitched.groupBy("file").agg(F.max_by(F.struct((F.col("ended") + F.col("ends")).alias("ordinal"), F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("head")).alias("n")), "block").alias("last"))
-    return inside.unionByName(rest.filter("last.n > 0").select("file", F.col("last.ordinal").alias("ordinal"), F.col("last.n").alias("n_tokens")))
+    # Documents that end in a block, and after a file's last block what stays open.
+    ended = F.when(F.col("ends") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
+    open_ = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("head"))
+    last = F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull()
+    sizes = F.concat(ended, F.when(last & (open_ > 0), F.array(open_)).otherwise(F.array().cast("array<long>")))
+    sized = stitched.select("file", "ended", sizes.alias("sizes"))
+    return sized.select("file", "ended", F.posexplode("sizes").alias("k", "n_tokens")).select("file", (F.col("ended") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
 def count(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, **how) -> DataFrame:

@@ -1,0 +1,200 @@
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import sentencepiece
+from cases import corpus, documents, prose
+
+from graphlog.llm import ann, lattice_lm, quality, secrets, url_filter
+from graphlog.llm.common import tokenizer_path, word_hashes
+from graphlog.llm.queries import URL_RULES
+
+
+def test_word_hashes_are_of_words():
+    texts = [t for _, t, _ in corpus()]
+    words = [w for t in texts for w in (t or "").encode().split()]
+    hashes, starts = word_hashes(texts)
+    assert len(hashes) == len(words) == starts[-1]
+    assert len(set(zip(words, hashes.tolist(), strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+
+
+def test_quality_counts(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    want = Counter()
+    for i, t, _ in corpus():
+        text = t or ""
+        words = text.encode().split()
+        grams = Counter(zip(words, words[1:], words[2:], strict=False))
+        repeated = {k + d for k, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for d in range(3)}
+        lines = [x for x in text.split("\n") if x.encode().split()]
+        tokens = [x for w in words for x in model.encode(w.decode())]
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        want[i, len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated), len(tokens), failed] += 1
+    rows = quality.judge(documents(spark)).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_tokens, r.base_failed) for r in rows) == want
+    assert all(r.kept == (not r.base_failed and r.rejected_by is None) for r in rows)
+    assert quality.judge(documents(spark, [])).count() == 0
+    kept = quality.keep(documents(spark))
+    assert kept.columns == documents(spark).columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
+
+
+def test_quality_bands():
+    ids = np.array([1] * 64 + list(range(64)))
+    assert quality.window_entropy(ids) == (3.0, 2)
+    rules = quality.Rules()
+    binary = quality.measure(" ".join(chr(0xA000 + k) * 3 for k in range(200)), rules)
+    assert quality.verdict(binary, quality.Band(chars_low=0.1)) == "byte_fallback"
+    assert quality.script_of("кот и пёс") == "Cyrillic"
+    assert quality.script_of("plain") == "Latin"
+
+
+def test_lattice_sums_all_segmentations():
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    logs = np.log10(rng.dirichlet(np.ones(model.get_piece_size())))
+    pieces = {model.id_to_piece(i): logs[i] for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    spelled = {int(model.id_to_piece(i)[1:-1], 16): logs[i] for i in range(model.get_piece_size()) if model.is_byte(i)}
+
+    def brute(text):
+        if not text:
+            return 1.0
+        total = sum(10 ** pieces[text[:k]] * brute(text[k:]) for k in range(1, len(text) + 1) if text[:k] in pieces)
+        if text[0] not in pieces:
+            total += 10 ** sum(spelled[b] for b in text[0].encode()) * brute(text[1:])
+        return total
+
+    words = [b"the", b"thething", "naïve".encode(), "x\U00012345y".encode(), b"a", b"123,"]
+    for word, got in zip(words, lattice_lm.Lattice("piece_bpe_32k.model", logs).score(words), strict=True):
+        assert math.isclose(got, math.log10(brute("▁" + word.decode())), rel_tol=1e-9)
+
+
+def test_lm(spark):
+    rows = corpus()
+    out = [lattice_lm.evaluate(documents(spark), common_words=k).collect() for k in (0, 40, 100_000)]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter()
+    for i, t, _ in rows:
+        if not held(i):
+            counts.update([*lattice_lm.words_of(t), "end"])
+    n, v = sum(counts.values()), len(counts)
+    want = Counter()
+    for i, t, _ in rows:
+        tokens = [*lattice_lm.words_of(t), "end"]
+        base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens)
+        want[i, held(i), len(tokens), sum(counts[x] > 0 for x in tokens), n, round(base, 5)] += 1
+    for got in out:
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+        assert sorted(round(r.score, 6) for r in got) == sorted(round(r.score, 6) for r in out[0])
+    assert lattice_lm.evaluate(documents(spark, [])).count() == 0
+    assert lattice_lm.evaluate(documents(spark, [(None, None, None)])).head().n_tokens == 1
+
+
+def test_lm_prefers_held_out_text_to_noise(spark):
+    rng = random.Random(4)
+    train = documents(spark, [(i, prose(rng, 120), "en") for i in range(40)])
+    trained = lattice_lm.train(train)
+    text = prose(rng, 100)
+    noise = "".join(rng.sample(text, len(text)))
+    scores = {r.doc_id: r.score / r.n_tokens for r in lattice_lm.score(documents(spark, [(1, text, "en"), (2, noise, "en")]), trained).collect()}
+    assert scores[1] > scores[2]
+
+
+def test_secrets(spark):
+    hexed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = {
+        1: f'la token = "{hexed}" and more',
+        2: f"the commit {hexed} is fine",
+        3: f'TOKEN = "{hexed.upper()}"!! X',
+        4: "see internationalization2024andmore here",
+        5: None,
+        6: "",
+        7: f'a api_key: "{hexed}" b token = "{hexed}" c',
+        8: "call 4785380592391139 now",
+    }
+    docs = documents(spark, [(i, t, "en") for i, t in texts.items()])
+    forest = secrets.default_forest(spark)
+    rows = secrets.scan(docs, forest=forest).collect()
+    for r in rows:
+        assert texts[r.doc_id][r.start : r.start + r.length] == r.candidate
+    assert Counter(r.doc_id for r in rows if r.secret) == {1: 1, 3: 1, 7: 2}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest=forest).collect()}
+    assert clean[1] == 'la token = "[SECRET]" and more'
+    assert clean[7] == 'a api_key: "[SECRET]" b token = "[SECRET]" c'
+    assert {i: clean[i] for i in (2, 4, 5, 6, 8)} == {i: texts[i] for i in (2, 4, 5, 6, 8)}
+    assert secrets.redact(docs, forest=forest).columns == docs.columns
+    assert secrets.scan(documents(spark, []), forest=forest).count() == 0
+
+
+def test_forest_sql_is_the_model(spark):
+    findings = secrets.labelled_findings(spark, 600)
+    model = secrets.train(findings, trees=4, depth=4)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    table = findings.select(secrets.features(F.col("candidate"), F.col("before"), F.col("after")).alias("f"), "label")
+    both = VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(table.select("f.*", "f", "label"))
+    scored = model.transform(both).withColumn("own", F.expr(secrets.forest_sql(model, "f"))).collect()
+    assert all(math.isclose(r.probability[1], r.own, abs_tol=1e-9) for r in scored)
+    held = secrets.labelled_findings(spark, 900).subtract(findings)
+    tested = held.select(secrets.features(F.col("candidate"), F.col("before"), F.col("after")).alias("f"), "label").withColumn("p", F.expr(secrets.forest_sql(model, "f")))
+    right = tested.agg(F.avg(((F.col("p") > 0.5) == (F.col("label") > 0.5)).cast("int"))).head()[0]
+    assert right > 0.9
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 24))
+    x[500:800] = x[3]  # a hot vector
+    x[10] *= 1e-200
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    bad = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] + [1.0] * 23), (2003, [float("inf")] * 24), (2004, [None] + [1.0] * 23), (None, [1.0] * 24), (2005, [1.0, 2.0]), (2050, [2.0, 1.0])]
+    data = spark.createDataFrame(rows + bad + rows[:5], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(data, data.filter("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    unit = unit / np.sqrt((unit * unit).sum(axis=1))[:, None]
+    hit = total = 0
+    for q in range(0, 1500, 50):
+        s = unit @ unit[q]
+        s = np.round(s, 12)
+        s[q] = -2
+        best = np.lexsort((np.arange(1500), -s))[:5]
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        hit += len({v for v, _ in got[q].values()} & set(best.tolist()))
+        total += 5
+        for v, score in got[q].values():
+            assert abs(score - unit[v] @ unit[q]) < 1e-9
+        ranks = [(-got[q][k][1], got[q][k][0]) for k in range(1, 6)]
+        assert ranks == sorted(ranks)
+    assert hit / total >= 0.9
+    assert got[500] == {k: (v, got[500][k][1]) for k, v in zip(range(1, 6), (3, 501, 502, 503, 504), strict=True)}
+    assert got[2050] == {1: (2005, got[2050][1][1])}
+    assert set(got) == {*range(0, 1500, 50), 2050}
+    assert ann.search(data.limit(0), data).count() == 0
+
+
+def test_url_filter(spark):
+    urls = [
+        "https://a.example.com/en/7", "http://EXAMPLE.com/en/70?x=1", "http://b.com/en/8", "http://b.com/en", "http://b.com", "https://x.net/de/1", "https://m.example.net/de/8#t", "https://m.example.net/de/9",
+        "http://q.org/es/", "http://q.org/fr/", "no url", None, "", "ftp://com/en/", "http://notexample.com/en/7", "http://a.com:80/en/", "://net/de/1", "http://a.net?x=/de/", "http://x.com//en/", "http://.com/en/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def brute(url):
+        host, path = url_filter.parse(url)
+        fits = [(len(h + p), v, h + p) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (host, path, *(max(fits)[2:0:-1] if fits else (None, "allow")))
+
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert got == {k: brute(u) for k, u in enumerate(urls)}
+    assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
+    rules = [("block", "a.b", ""), ("allow", "b", "/x"), ("block", "b", "/x"), ("allow", "a.b", "/y/z")]
+    trie = url_filter.Trie(rules)
+    assert trie.find("a.b", "") == ("block", "a.b")
+    assert trie.find("c.b", "/xy") == ("block", "b/x")
+    assert trie.find("a.b", "/y/zz") == ("allow", "a.b/y/z")
+    assert trie.find("b", "/") is None

@@ -252,6 +252,7 @@ class FmIndex:
     """
 
     def __init__(self, text: np.ndarray, depth: int = WINDOW):
+        text = np.append(text + 1, 0)  # a symbol below all others ends it
         n = len(text)
         self.size, self.symbols = n, int(text.max(initial=0)) + 1
         rank, reach = text.astype(np.int64), 1
@@ -296,7 +297,7 @@ class FmIndex:
         for k in range(1, length + 1):
             at = ends[alive] - k
             alive = alive[at >= 0]
-            symbol = text[ends[alive] - k]
+            symbol = text[ends[alive] - k] + 1
             known = symbol < self.symbols
             alive, symbol = alive[known], symbol[known]
             # the whole text's interval needs no rank
@@ -313,7 +314,8 @@ def least_documents(text: np.ndarray, owner: np.ndarray, ends: np.ndarray, lengt
     index = FmIndex(text, length)
     found, low, high = index.search(text, ends, length)
     assert (found == length).all(), "every window is in the index itself"
-    owners = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
+    none = np.iinfo(np.int64).max
+    owners = np.append(np.append(owner, none)[index.suffixes], none)
     intervals, back = np.unique(low, return_inverse=True)  # windows of one length: equal or apart
     upper = np.zeros(len(intervals), np.int64)
     upper[back] = high

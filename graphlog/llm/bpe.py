@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import pre_tokenizers
 
-from .common import Cache, below, pick, tokenizer_path
+from .common import Cache, below, pick, resident, tokenizer_path
 
 #: White space as Unicode has it; the pattern that splits a text before the merges is public with the vocabulary.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -24,7 +24,6 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 #: Below this, all releases of Unicode agree on letters and numbers; texts that reach beyond are split by the
 #: tokenizers library, whose release the contract fixes.
 SETTLED = "\u0500"
-_LOADED: dict[str, Bpe] = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,7 +58,7 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.beyond = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = Cache(self._word)
+        self.cache = Cache(self._word, limit=120_000)
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens, which joined give the text."""
@@ -124,9 +123,7 @@ class Bpe:
 
 
 def load(name: str) -> Bpe:
-    if name not in _LOADED:
-        _LOADED[name] = Bpe(tokenizer_path(name))
-    return _LOADED[name]
+    return resident(("bpe", name), lambda: Bpe(tokenizer_path(name)))
 
 
 def _lists(parts: list[bytes]) -> pa.ListArray:
@@ -136,7 +133,7 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
 
 
 #: Rows are answered in groups of about this many text characters, so a batch of long texts stays small.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_000_000
 
 
 def _groups(texts: list) -> Iterator[slice]:

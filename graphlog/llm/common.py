@@ -47,13 +47,25 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a worker keeps between tasks (a vocabulary with its memo): one thing at a time, so that a worker that has
+    served several operators holds the memory of one."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 class Cache(dict):
     """A bounded memo in two generations: ``make`` fills it on a miss; when the young one is full it becomes the old.
 
     What is used often is always in one of them, so a stream of words that occur once can't push it out.
     """
 
-    def __init__(self, make, limit: int = 100_000, longest: int = 64):
+    def __init__(self, make, limit: int = 80_000, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
@@ -83,7 +95,7 @@ def below(text: str, limit: str) -> bool:
     return True
 
 
-def text_groups(batch: pa.RecordBatch, column: str, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def text_groups(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text, so that a batch of long texts is worked off in parts."""
     at = size = 0
     for k, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
@@ -102,7 +114,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base, and of its inverse modulo 2**64, for exponents below n at least."""
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 22)
+        size = max(n, 1_300_000)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             factors = np.full(size, base, np.uint64)
             factors[0] = 1

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, tokenizer_path
+from .common import cut, pick, resident, tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 ADD = 0.1
@@ -34,15 +34,12 @@ END = " end"
 COMMON_WORDS = 100_000
 #: Distinct words a task gathers before it passes their counts on.
 GATHER = 400_000
-_MODELS: dict[str, object] = {}
 
 
 def _model(name: str):
-    if name not in _MODELS:
-        import sentencepiece
+    import sentencepiece
 
-        _MODELS[name] = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
-    return _MODELS[name]
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -265,16 +262,9 @@ class _Places(dict):
         return -1
 
 
-_LATTICES: dict = {}
-
-
 def _lattice(name: str, logs: np.ndarray) -> Lattice:
-    """One lattice, and the scores of the common words, are kept in a worker."""
-    key = (name, logs.tobytes())
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(name, logs)
-    return _LATTICES[key]
+    """A worker keeps its lattice, and with it the scores of the common words."""
+    return resident(("lattice", name, logs.tobytes()), lambda: Lattice(name, logs))
 
 
 def _common_scores(lattice: Lattice, common: list[str]) -> np.ndarray:

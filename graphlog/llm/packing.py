@@ -18,14 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, below, pick, tokenizer_path
+from .common import Cache, below, pick, resident, tokenizer_path
 
 CAPACITY = 2048
 OPEN_BINS = 1 << 16
 #: So many pieces wait and enter longest first; the packing stays online over any number of them.
 LOOKAHEAD = 1 << 15
 END = b"\0\0\0\0"
-_TOKENIZERS: dict[str, Words] = {}
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -87,9 +86,7 @@ class Words:
 
 
 def words(name: str) -> Words:
-    if name not in _TOKENIZERS:
-        _TOKENIZERS[name] = Words(name)
-    return _TOKENIZERS[name]
+    return resident(("packing", name), lambda: Words(name))
 
 
 def document_ids(text: str | None, name: str) -> bytes:

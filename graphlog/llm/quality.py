@@ -17,10 +17,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, pick, tokenizer_path
+from .common import Cache, pick, resident, tokenizer_path
 
 WINDOW = 64
-_LOADED: dict[str, tuple[Cache, int, int]] = {}
 
 
 @dataclass(frozen=True)
@@ -77,16 +76,17 @@ def script_of(text: str) -> str:
 
 def _vocabulary(name: str) -> tuple[Cache, int, int]:
     """Word -> ids as uint16 bytes, and the range of byte-fallback ids."""
-    if name not in _LOADED:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
-        if model.get_piece_size() > 65536:
-            raise ValueError("a vocabulary of at most 65536 pieces is needed")
-        bytes_at = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
-        make = lambda word: np.asarray(model.encode(word.decode()), "<u2").tobytes()
-        _LOADED[name] = Cache(make), min(bytes_at, default=0), max(bytes_at, default=-1)
-    return _LOADED[name]
+    return resident(("quality", name), lambda: _load(name))
+
+
+def _load(name: str) -> tuple[Cache, int, int]:
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
+    if model.get_piece_size() > 65536:
+        raise ValueError("a vocabulary of at most 65536 pieces is needed")
+    bytes_at = [i for i in range(model.get_piece_size()) if model.is_byte(i)]
+    return Cache(lambda word: np.asarray(model.encode(word.decode()), "<u2").tobytes()), min(bytes_at, default=0), max(bytes_at, default=-1)
 
 
 def window_entropy(ids: np.ndarray, window: int = WINDOW) -> tuple[float, int]:

@@ -1,0 +1,91 @@
+"""Fingerprints that people can compare, identifiers that sort by time, and small encodings."""
+
+from __future__ import annotations
+
+import base64
+import threading
+import time
+
+from ..wire.blake3 import blake3
+
+#: The 64 digits of the picture hash, in their order.
+PICTURES = (
+    "🐵 monkey 🐶 dog 🐺 wolf 🦊 fox 🐱 cat 🦁 lion 🐯 tiger 🐴 horse 🦄 unicorn 🦓 zebra 🦌 deer 🐮 cow 🐷 pig 🐗 boar 🐭 mouse 🐹 hamster "
+    "🐰 rabbit 🐻 bear 🐼 panda 🐨 koala 🐸 frog 🐲 dragon 🐔 chicken 🐧 penguin 🦆 duck 🦅 eagle 🦉 owl 🦇 bat 🐢 turtle 🐍 snake 🦎 lizard 🐊 crocodile "
+    "🐳 whale 🐬 dolphin 🐟 fish 🐠 tropical-fish 🐡 blowfish 🦈 shark 🐙 octopus 🦑 squid 🦀 crab 🦞 lobster 🦐 shrimp 🦋 butterfly 🐌 snail 🐞 lady-beetle 🐝 bee "
+    "🐜 ant 🦂 scorpion 🍎 apple 🍐 pear 🍊 orange 🍋 lemon 🍌 banana 🍉 watermelon 🍇 grapes 🍓 strawberry 🍒 cherries 🍍 pineapple 🥝 kiwi 🍑 peach 🥥 coconut 🥕 carrot 🌽 corn"
+).split()
+#: Fixed value: marks for how often a square was visited; the last is the end's.
+RAMP = " .o+=*BOX@%&#/^"
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def picture_digits(data: bytes, length: int = 11) -> list[int]:
+    """Six-bit symbols of the extended hash."""
+    length = max(1, length)
+    bits = "".join(f"{b:08b}" for b in blake3(data, -(-length * 6 // 8)))
+    return [int(bits[6 * k : 6 * k + 6], 2) for k in range(length)]
+
+
+def pictures(data: bytes, length: int = 11) -> str:
+    return " ".join(PICTURES[2 * d] for d in picture_digits(data, length))
+
+
+def picture_names(data: bytes, length: int = 11) -> str:
+    return " ".join(PICTURES[2 * d + 1] for d in picture_digits(data, length))
+
+
+def randomart(data: bytes, label: str = "", width: int = 17, height: int = 9) -> str:
+    """The walk of a bishop over a board: two bits a step, right and down where they are set."""
+    x, y, visits = width // 2, height // 2, {}
+    for byte in data:
+        for k in range(4):
+            step = byte >> 2 * k
+            x = min(width - 1, max(0, x + (1 if step & 1 else -1)))
+            y = min(height - 1, max(0, y + (1 if step & 2 else -1)))
+            visits[x, y] = visits.get((x, y), 0) + 1
+    squares = {at: RAMP[min(n, len(RAMP) - 1)] for at, n in visits.items()} | {(x, y): "E", (width // 2, height // 2): "S"}
+    rows = ["|" + "".join(squares.get((c, r), " ") for c in range(width)) + "|" for r in range(height)]
+    edge = "+----------------+"
+    return "\n".join([f"+--[{label:14s}]+" if label else edge, *rows, edge])
+
+
+def ulid(milliseconds: int, low: int) -> str:
+    """26 Crockford digits: 48 bits of time, 80 bits of whatever tells equal times apart."""
+    n = (milliseconds & (1 << 48) - 1) << 80 | low & (1 << 80) - 1
+    return "".join(CROCKFORD[n >> 5 * k & 31] for k in range(25, -1, -1))
+
+
+def parse_ulid(text: str) -> tuple[int, int]:
+    if len(text) != 26 or set(text.upper()) - set(CROCKFORD) or text[0] > "7":
+        raise ValueError("26 Crockford digits are needed")
+    n = 0
+    for c in text.upper():
+        n = n << 5 | CROCKFORD.index(c)
+    return n >> 80, n & (1 << 80) - 1
+
+
+class UlidCounter:
+    """Identifiers that grow, also within a millisecond."""
+
+    def __init__(self, seed: int = 0, clock=lambda: time.time_ns() // 1_000_000):
+        self.clock, self.last, self.low, self.seed, self.lock = clock, -1, 0, seed, threading.Lock()
+
+    def next(self) -> str:
+        with self.lock:
+            now = max(self.clock(), self.last)
+            self.low = self.low + 1 if now == self.last else self.seed
+            self.last = now
+            return ulid(now, self.low)
+
+
+def base64url(data: bytes) -> str:
+    return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
+
+
+def parse_digest(text: str) -> bytes:
+    """32 bytes from hex, with or without the hash's name."""
+    raw = bytes.fromhex(text.strip().removeprefix("blake3:"))
+    if len(raw) != 32:
+        raise ValueError("expected 32 bytes in hex")
+    return raw

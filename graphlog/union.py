@@ -101,12 +101,14 @@ def referenced(g: FoldedGraph) -> DataFrame:
 
 
 def distinct_terms(g: FoldedGraph, names: DataFrame | None = None) -> DataFrame:
-    """path, kind, token: a file's dictionary; a union of several segments keeps only terms that some row names."""
+    """path, kind, token: a file's dictionary. A single segment keeps its entries, a union of several has each value
+    once, and only those that some row names."""
     names = names if names is not None else tokens(g)
     several = g.segments.groupBy("path").agg((F.count("*") > 1).alias("several"))
     used = referenced(g).withColumn("used", F.lit(True))
     kept = names.join(several, "path").join(used, [*KEY, "tid"], "left").filter("not several or used")
-    return kept.select("path", "kind", "token").distinct()
+    entry = F.when(~F.col("several"), F.col("tid"))
+    return kept.select("path", "kind", "token", entry.alias("entry")).distinct().drop("entry")
 
 
 def suppression_targets(g: FoldedGraph, names: DataFrame) -> DataFrame:

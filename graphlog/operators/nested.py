@@ -12,8 +12,8 @@ from ..plans.stored import stored
 from ..schema import ITEMS, FoldedGraph
 from ..sources.log import _batch, items_of
 
-#: Fixed value: the media type of a log.
-MEDIA_TYPE = "application/vnd.blackcat.gts+cbor-seq"
+#: The media type of a log, as a parameter of your packages.
+MEDIA_TYPE = "application/vnd.graphlog+cbor-seq"
 MOST_DEPTH, MOST_BYTES = 3, 16 << 20
 
 

@@ -50,7 +50,7 @@ class Words:
         self.simple = lower and bool(self.last.any())
         #: How special tokens begin; a text with one is left as it is.
         self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.memo = Cache(self._one, limit=150_000)
+        self.memo = Cache(self._one, limit=250_000)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")

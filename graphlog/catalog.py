@@ -342,20 +342,22 @@ def graph_two_hop(spark, d):
     return hop.select(F.col("s_suppkey").alias("src"), F.col("n_nationkey").alias("mid"), F.col("r_name").alias("dst"))
 
 
-@query("WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), t AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT start, dst, depth + 1 FROM t JOIN e ON node = src) SELECT start, node, min(depth) AS depth FROM t GROUP BY start, node")
+@query("WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), t AS (SELECT DISTINCT src AS start, src AS node, 0 AS depth FROM e WHERE src LIKE 'c%' UNION SELECT start, dst, depth + 1 FROM t JOIN e ON node = src) SELECT start, node, min(depth) AS depth FROM t GROUP BY start, node")
 def reachability(spark, d):
-    c, n = table(spark, d, "customer").filter("c_custkey % 10 = 0"), table(spark, d, "nation")
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
     first = c.selectExpr("concat('c', c_custkey) src", "concat('n', c_nationkey) dst")
     return V.reach(first.unionByName(n.selectExpr("concat('n', n_nationkey) src", "concat('r', n_regionkey) dst")), first.selectExpr("src node"))
 
 
-@query("WITH p AS (SELECT 64 * k AS start, 64 * k + 48 AS stop, k AS peak FROM range(200) t(k)) SELECT event_id, peak FROM events JOIN p ON event_id >= start AND event_id < stop")
+@query("WITH p AS (SELECT 64 * k AS start, 64 * k + 48 AS stop, k AS peak FROM (SELECT DISTINCT event_id // 64 AS k FROM events)) SELECT event_id, peak FROM events JOIN p ON event_id >= start AND event_id < stop")
 def range_peak(spark, d):
     """Leaves to the peaks whose range holds them. Ranges are cut to the grid they lie on, so it is an equality join."""
     from .operators.logs import range_join
 
-    peaks = spark.range(200).select((F.col("id") * 64).alias("start"), (F.col("id") * 64 + 48).alias("stop"), F.col("id").alias("peak"))
-    return range_join(table(spark, d, "events").select("event_id"), peaks, "event_id", "start", "stop", 64).select("event_id", "peak")
+    events = table(spark, d, "events").select("event_id")
+    peaks = events.select(F.floor(F.col("event_id") / 64).cast("long").alias("peak")).distinct()
+    peaks = peaks.select((F.col("peak") * 64).alias("start"), (F.col("peak") * 64 + 48).alias("stop"), "peak")
+    return range_join(events, peaks, "event_id", "start", "stop", 64).select("event_id", "peak")
 
 
 # ---------------------------------------------------------------- recall and policy

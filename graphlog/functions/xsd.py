@@ -80,6 +80,19 @@ def _at_most(a: Column, bound: int) -> Column:
     return (neg | less) if bound >= 0 else (neg & more)
 
 
+def _day_exists(lex: Column) -> Column:
+    """Whether the day is one of its month, for texts in the shape of dates."""
+    shape = r"^(?:-?[0-9]{4,}|-)-([0-9]{2})-([0-9]{2})"
+    month, day = F.regexp_extract(lex, shape, 1), F.regexp_extract(lex, shape, 2).try_cast("int")
+    year = F.right(F.regexp_extract(lex, "^-?([0-9]{4,})-", 1), F.lit(4)).try_cast("int")
+    leap = F.coalesce((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)), F.lit(True))
+    return day <= F.when(month.isin("04", "06", "09", "11"), 30).when(month == "02", F.when(leap, 29).otherwise(28)).otherwise(31)
+
+
+def _whole(pattern: str) -> str:
+    return rf"\A(?:{pattern})\z"
+
+
 def valid(datatype: str, lex: Column) -> Column:
     """Whether ``lex`` is in the lexical space; null for a datatype that isn't recognised."""
     name = datatype.removeprefix(XSD)
@@ -94,23 +107,20 @@ def valid(datatype: str, lex: Column) -> Column:
         return reduce(lambda x, y: x & y, tests)
     if name not in PATTERNS:
         return F.lit(None).cast("boolean")
-    shape = lex.rlike(rf"\A(?:{PATTERNS[name]})\z")
-    if name in _DATED:
-        # the day must exist in its month
-        month = F.regexp_extract(lex, r"^(?:-?[0-9]{4,}|-)-([0-9]{2})-([0-9]{2})", 1)
-        day = F.regexp_extract(lex, r"^(?:-?[0-9]{4,}|-)-([0-9]{2})-([0-9]{2})", 2)
-        year = F.regexp_extract(lex, r"^-?([0-9]{4,})-", 1)
-        tail = F.right(year, F.lit(4)).try_cast("int")
-        leap = F.when(year == "", True).otherwise((tail % 4 == 0) & ((tail % 100 != 0) | (F.right(year, F.lit(4)).try_cast("int") % 400 == 0)))
-        most = F.when(month.isin("04", "06", "09", "11"), 30).when(month == "02", F.when(leap, 29).otherwise(28)).otherwise(31)
-        return shape & (day.try_cast("int") <= most)
-    return shape
+    shape = lex.rlike(_whole(PATTERNS[name]))
+    return shape & _day_exists(lex) if name in _DATED else shape
 
 
 def validate(datatype: Column, lex: Column) -> Column:
-    """The same for a datatype in a column."""
-    known = [*PATTERNS, *INTEGERS]
-    return F.coalesce(*[F.when(datatype == XSD + name, valid(name, lex)) for name in known])
+    """The same for a datatype in a column: patterns and bounds are looked up, so the expression stays small."""
+    table = lambda values: F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(XSD + k), v)]), datatype)
+    pattern = table({k: F.lit(_whole(v)) for k, v in PATTERNS.items()} | {k: F.lit(_whole("[+-]?[0-9]+")) for k in INTEGERS})
+    bound = lambda k: table({n: F.lit(str(b[k])).cast("decimal(38,0)") for n, b in INTEGERS.items() if b[k] is not None})
+    low, high, number = bound(0), bound(1), canonical_integer(lex).try_cast("decimal(38,0)")
+    negative = lex.startswith("-")  # of a number too long to hold, the sign decides
+    fits = F.when(number.isNull(), F.when(negative, low.isNull()).otherwise(high.isNull())).otherwise(F.coalesce(number >= low, F.lit(True)) & F.coalesce(number <= high, F.lit(True)))
+    integer, dated = datatype.isin(*[XSD + k for k in INTEGERS]), datatype.isin(*[XSD + k for k in sorted(_DATED)])
+    return F.rlike(lex, pattern) & F.when(integer, fits).when(dated, _day_exists(lex)).otherwise(True)
 
 
 def canonical(datatype: Column, lex: Column) -> Column:

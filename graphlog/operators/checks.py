@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import xsd
 from ..functions.text import namespace
 
 
@@ -39,3 +40,14 @@ def signature_findings(signed: DataFrame, trusted: DataFrame | None) -> DataFram
         )
     )
     return known.select("subject", F.explode(found).alias("finding"))
+
+
+def ill_typed(terms: DataFrame) -> DataFrame:
+    """path, seg, tid, lex, datatype of literals that aren't in their recognised datatype's lexical space.
+
+    ``terms`` are a fold's: the datatype is an id of the same segment. Unrecognised datatypes are left alone.
+    """
+    kinds = terms.filter("kind = 0").select("path", "seg", F.col("tid").alias("datatype"), F.col("lex").alias("iri"))
+    typed = terms.filter("kind = 1 and datatype is not null").select("path", "seg", "tid", "lex", "datatype").join(kinds, ["path", "seg", "datatype"])
+    good = xsd.validate(F.col("iri"), F.col("lex"))
+    return typed.filter(~good).select("path", "seg", "tid", "lex", F.col("iri").alias("datatype"))

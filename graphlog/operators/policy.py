@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +27,21 @@ class Policy:
     require_trusted: bool = False
     pseudonymous: str = r"^anon:[0-9a-fA-F]{32,}$"
 
+    @classmethod
+    def from_text(cls, text: str) -> Policy:
+        """From JSON or YAML: trusted_signers, require_trusted_signer, pseudonymous_kid_pattern; other keys are an error."""
+        try:
+            data = json.loads(text)
+        except ValueError:
+            import yaml
+
+            data = yaml.safe_load(text)
+        names = {"trusted_signers": "trusted", "require_trusted_signer": "require_trusted", "pseudonymous_kid_pattern": "pseudonymous"}
+        if not isinstance(data, dict) or set(data) - set(names):
+            raise ValueError("a trust policy has trusted_signers, require_trusted_signer and pseudonymous_kid_pattern")
+        given = {names[k]: tuple(v) if isinstance(v, list) else v for k, v in data.items()}
+        return cls(**given)
+
 
 def trust(g: FoldedGraph, policy: Policy) -> DataFrame:
     """Signatures with whether they are valid and by a trusted key."""

@@ -79,16 +79,20 @@ def value_annotations(g: FoldedGraph, names: DataFrame) -> DataFrame:
     return resolved(g.annotations, names, ["reifier", "predicate", "value", "g"]).select("path", "seg", "item", "row", "reifier", "predicate", "value", "g")
 
 
-def nquads(g: FoldedGraph, *, lang_map: dict[str, str] | None = None) -> DataFrame:
-    """path, line: statements, reifier bindings as rdf:reifies, annotations as statements about their reifier."""
+def statements(g: FoldedGraph, *, lang_map: dict[str, str] | None = None) -> DataFrame:
+    """path, s, p, o, g: quads, reifier bindings as rdf:reifies, annotations as statements about their reifier."""
     names = stored(tokens(g, lang_map=lang_map))
     quads = value_quads(g, names)
     # a binding of a triple term to itself states nothing
     spelled = F.concat(F.lit("<<( "), F.concat_ws(" ", "s", "p", "o"), F.lit(" )>>"))
     reified = value_reifiers(g, names).withColumn("t", spelled).filter("reifier != t").select("path", F.col("reifier").alias("s"), F.lit(f"<{RDF}reifies>").alias("p"), F.col("t").alias("o"), "g")
     notes = value_annotations(g, names).select("path", F.col("reifier").alias("s"), F.col("predicate").alias("p"), F.col("value").alias("o"), "g")
-    rows = quads.unionByName(reified).unionByName(notes)
-    return rows.select("path", F.concat(F.concat_ws(" ", "s", "p", "o", "g"), F.lit(" .")).alias("line"))
+    return quads.unionByName(reified).unionByName(notes)
+
+
+def nquads(g: FoldedGraph, *, lang_map: dict[str, str] | None = None) -> DataFrame:
+    """path, line: the same as text."""
+    return statements(g, lang_map=lang_map).select("path", F.concat(F.concat_ws(" ", "s", "p", "o", "g"), F.lit(" .")).alias("line"))
 
 
 def referenced(g: FoldedGraph) -> DataFrame:

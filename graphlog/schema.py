@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 
-ITEMS = "path string, item long, start long, stop long, header boolean, shape string, t string, profile string, layout string, catalog binary, x binary, pub binary, recipients binary, d binary, stored binary, computed binary, prev binary, sig binary, sig_shape string"
+ITEMS = "path string, item long, start long, stop long, header boolean, shape string, t string, profile string, layout string, catalog binary, x binary, pub binary, recipients binary, d binary, stored binary, computed binary, prev binary, sig binary, sig_shape string, seg int, pos int, expected binary"
 ROWS = "path string, seg int, item long, row int, tbl string, ids array<long>, texts array<string>, raw binary"
 
 RELATIONAL = {

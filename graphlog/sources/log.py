@@ -17,7 +17,7 @@ from ..wire.cbor import dumps, sequence
 from ..wire.frames import MAGIC, MAGIC_KEY, VERSION, header_id, is_header, item_id, unwrapped
 
 _NAMES = [part.split()[0] for part in ITEMS.split(", ")]
-_KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 _TYPES = [_KINDS[part.split()[1]] for part in ITEMS.split(", ")]
 
 
@@ -41,8 +41,13 @@ def _bytes(x: Any) -> bytes | None:
 
 
 def items_of(path: str, data: bytes) -> Iterator[tuple]:
-    """Rows of ITEMS for a file. A torn rest is a row of shape ``torn``; an empty file has one of shape ``empty``."""
+    """Rows of ITEMS for a file. A torn rest is a row of shape ``torn``; an empty file has one of shape ``empty``.
+
+    A file is read in order, so its segments, the catalog in force and the id that each frame must name come for free:
+    no payload is ever shuffled for them.
+    """
     found, torn = sequence(data)
+    seg, pos, catalog, expected = -1, 0, None, None
     for n, (start, stop, item) in enumerate(found):
         row = dict.fromkeys(_NAMES) | {"path": path, "item": n, "start": start, "stop": stop, "header": is_header(item)}
         if row["header"]:
@@ -58,10 +63,16 @@ def items_of(path: str, data: bytes) -> Iterator[tuple]:
             row |= {name: dumps(item[key]) for name, key in (("x", "x"), ("pub", "pub"), ("recipients", "to"), ("d", "d")) if key in item}
         else:
             row |= {"shape": "other"}
+        if row["header"]:
+            seg, pos, catalog = seg + 1, 0, row["catalog"]
+        else:
+            pos += 1
+        row |= {"seg": seg, "pos": pos, "catalog": catalog, "expected": expected}
+        expected = row["stored"] or row["computed"] or b""
         yield tuple(row.values())
     if torn is not None or not found:
         shape = "torn" if found else "empty"
-        yield tuple((dict.fromkeys(_NAMES) | {"path": path, "item": len(found), "start": torn or 0, "stop": len(data), "header": False, "shape": shape}).values())
+        yield tuple((dict.fromkeys(_NAMES) | {"path": path, "item": len(found), "start": torn or 0, "stop": len(data), "header": False, "shape": shape, "seg": seg, "pos": pos + 1}).values())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

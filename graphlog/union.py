@@ -26,15 +26,22 @@ def tokens(g: FoldedGraph, *, lang_map: dict[str, str] | None = None) -> DataFra
     kinds = g.terms.filter("kind = 0").select(*KEY, F.col("tid").alias("datatype"), F.col("lex").alias("dt_lex"))
     terms = terms.join(kinds, [*KEY, "datatype"], "left")
     lang = remap(F.col("lang"), lang_map) if lang_map else F.col("lang")
-    # an anonymous node is numbered by the distinct values before it, as a union would number it
-    value = F.concat_ws("\x00", F.col("kind").cast("string"), "lex", "dt_lex", "lang", "direction", F.when(F.col("kind") >= 2, F.col("seg").cast("string")), F.when((F.col("kind") >= 2) & (F.coalesce("lex", F.lit("")) == ""), F.col("tid").cast("string")))
-    seen = Window.partitionBy("path", "_v").orderBy("seg", "item", "row")
-    terms = terms.withColumn("_v", value).withColumn("_new", (F.row_number().over(seen) == 1).cast("long"))
-    terms = terms.withColumn("union_id", F.sum("_new").over(first.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    # An anonymous node of several segments is numbered by the distinct values before it, as a union would number it;
+    # only files that have one pay for the order.
+    nameless = g.terms.filter("kind = 2 and coalesce(lex, '') = ''").select("path").distinct()
+    numbered = terms.join(nameless, "path", "left_semi")
+    if numbered.isEmpty():
+        terms = terms.withColumn("union_id", F.lit(None).cast("long"))
+    else:
+        value = F.concat_ws("\x00", F.col("kind").cast("string"), "lex", "dt_lex", "lang", "direction", F.when(F.col("kind") >= 2, F.col("seg").cast("string")), F.when((F.col("kind") >= 2) & (F.coalesce("lex", F.lit("")) == ""), F.col("tid").cast("string")))
+        seen = Window.partitionBy("path", "_v").orderBy("seg", "item", "row")
+        numbered = numbered.withColumn("_v", value).withColumn("_new", (F.row_number().over(seen) == 1).cast("long"))
+        numbered = numbered.withColumn("union_id", F.sum("_new").over(first.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_v", "_new")
+        terms = numbered.unionByName(terms.join(nameless, "path", "left_anti").withColumn("union_id", F.lit(None).cast("long")))
     label = F.when(F.coalesce("lex", F.lit("")) != "", F.when(F.col("several"), F.concat(F.lit("s"), F.col("seg").cast("string"), F.lit("."), "lex")).otherwise(F.col("lex")))
     anonymous = F.when(F.col("several"), F.concat(F.lit("s"), F.col("seg").cast("string"), F.lit("._anon"), union_id.cast("string"))).otherwise(F.concat(F.lit("b"), F.col("tid").cast("string")))
     lex = F.when(F.col("kind") == 2, F.coalesce(label, anonymous)).otherwise(F.coalesce("lex", F.lit("")))
-    plain = terms.filter("kind != 3").select(*KEY, "tid", "kind", term_token(F.col("kind"), lex, F.col("dt_lex"), lang, F.col("direction")).alias("token"), union_id.alias("order"))
+    plain = terms.filter("kind != 3").select(*KEY, "tid", "kind", term_token(F.col("kind"), lex, F.col("dt_lex"), lang, F.col("direction")).alias("token"))
     done = stored(plain)
     triples = g.terms.filter("kind = 3").select(*KEY, "tid", F.col("reifier").alias("rid"))
     if triples.isEmpty():
@@ -50,9 +57,9 @@ def tokens(g: FoldedGraph, *, lang_map: dict[str, str] | None = None) -> DataFra
         if new.isEmpty():
             break
         spelled = F.concat(F.lit("<<( "), F.concat_ws(" ", "s_token", "p_token", "o_token"), F.lit(" )>>"))
-        done = stored(done.unionByName(new.select(*KEY, "tid", F.lit(3).alias("kind"), spelled.alias("token"), F.lit(None).cast("long").alias("order"))))
+        done = stored(done.unionByName(new.select(*KEY, "tid", F.lit(3).alias("kind"), spelled.alias("token"))))
         open_ = stored(step.filter("s_token is null or p_token is null or o_token is null").select(*KEY, "tid", "s", "p", "o"))
-    unbound = open_.select(*KEY, "tid", F.lit(3).alias("kind"), F.concat(F.lit("_:unbound_triple_"), F.col("tid").cast("string")).alias("token"), F.lit(None).cast("long").alias("order"))
+    unbound = open_.select(*KEY, "tid", F.lit(3).alias("kind"), F.concat(F.lit("_:unbound_triple_"), F.col("tid").cast("string")).alias("token"))
     return done.unionByName(unbound)
 
 

@@ -21,7 +21,7 @@ from .common import ensure_checkpoint_dir, pick
 BLOCK_TOKENS = 1 << 20
 END_ID = 50256
 #: Documents to a file at most; a file is read as one row, so it has to stay far below what a row can hold.
-FILE_DOCS = 2048
+FILE_DOCS = 1024
 
 
 def write_token_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> None:

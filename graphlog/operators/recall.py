@@ -16,5 +16,6 @@ def recall(claims: DataFrame, query: str, *, text: str = "text", order: str = "p
     tie = F.desc(order) if newest else F.asc(order)
     if not query.split():
         return claims.withColumn("score", F.lit(0)).orderBy(F.desc(order)).limit(limit)
-    scored = claims.withColumn("score", F.size(F.array_intersect(tokens(F.col(text)), tokens(F.lit(query)))))
+    # the intersection is distinct by itself, and the query has no empty token
+    scored = claims.withColumn("score", F.size(F.array_intersect(F.split(F.lower(F.col(text)), r"\s+"), tokens(F.lit(query)))))
     return scored.filter("score > 0").orderBy(F.desc("score"), tie).limit(limit)

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-#: A run of at least 16 token characters with a digit, where no such character comes before it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Characters of context on either side.
 CONTEXT = 40
+#: Pieces (candidates and what is between them) that fill the context: two of them have 4 characters at least.
+PIECES = 21
 FINDINGS = 4_000
 TREES, DEPTH, SEED = 12, 5, 17
 THRESHOLD = 0.5
@@ -36,8 +36,10 @@ FRAGMENTS = (
     "version very view was way well were what when where which while who will with word work world would write year you"
 ).split()
 #: Words that stand near secrets, and words that stand near harmless identifiers.
-SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|private|credential|auth|bearer|signature)"
+SECRET_WORDS = r"(?i)(secret(?!ar)|token(?!i)|passw|pwd|api.?key|access.?key|private|credential|auth(?!or(?!i[sz]))|bearer|signature)"
 HARMLESS_WORDS = r"(?i)(commit|sha1|sha256|sha-|md5|checksum|digest|hash|uuid|guid|revision|blob|etag|version|order|invoice|isbn|example|sample|dummy|placeholder|build|release|integrity)"
+#: A run of at least 16 token characters with a digit, where no such character comes before it.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 FEATURES = ["length", "transitions", "letters", "digits", "hexadecimal", "coverage", "variety", "path", "assigned", "quoted", "secret_words", "harmless_words"]
 
 
@@ -55,7 +57,7 @@ def features(text: Column, before: Column, after: Column) -> Column:
         "hexadecimal": text.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "coverage": 1 - rest / size,
         "variety": F.size(F.array_distinct(F.split(text, ""))) / F.least(size, F.lit(24.0)),
-        "path": (text.rlike("/.*/|^/") | before.rlike(r"(://|www\.|[/\\])\S*$") | after.rlike(r"^\.[a-z]{2,4}\b")).cast("double"),
+        "path": (text.rlike("/.*/|^/") | before.rlike(r"(://|www\.|[/\\])[^\s?&=]*$") | after.rlike(r"^\.[a-z]{2,4}\b")).cast("double"),
         "assigned": before.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
         "quoted": before.rlike("[\"'`]$").cast("double"),
         "secret_words": before.rlike(SECRET_WORDS).cast("double"),
@@ -77,12 +79,23 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     hexed = F.expr("substring(h, 1, 32 + 8 * cast(pmod(xxhash64(id, 'hl'), 3) as int))")
     short = F.expr("substring(m, 1, 20 + cast(pmod(xxhash64(id, 'ml'), 30) as int))")
     words = F.concat(*[one(f"w{k}", FRAGMENTS) for k in range(6)], pickn("wn", 100).cast("string"))
+    letters = F.expr("substring(translate(m, '0123456789', 'kQwJzXvBpN'), 1, 16 + cast(pmod(xxhash64(id, 'll'), 64) as int))")
+    small = F.lower(F.expr("substring(translate(m, '0123456789', 'kqwjzxvbpn'), 3, 6 + cast(pmod(xxhash64(id, 'sl'), 10) as int))"))
+    signed = F.concat(F.expr("substring(m, 5, 3 + cast(pmod(xxhash64(id, 'pl'), 6) as int))"), one("sign", ["!", "@", "$", ".", "#", "%"]), F.expr("substring(m, 40, 2 + cast(pmod(xxhash64(id, 'pr'), 5) as int))"), one("last", ["!", "", "1", "$", ""]))
+    compound = F.initcap(F.expr("substring(translate(h, '0123456789abcdef', 'eniretsahdulcghe'), 1, 16 + cast(pmod(xxhash64(id, 'cl'), 14) as int))"))
+    plain = [one(f"w{k}", FRAGMENTS) for k in range(6)]
+    prose = ["the ", "and ", "", "et ", "und ", ", ", ". ", "of ", "secret ", "the token ", '" ', "\n"]
+    named = ["TOKEN=", "export API_KEY=", "?token=", "&access_token=", "https://example.com/v1/list?api_key=", "password=", 'client_secret="', "DB_PASSWORD=", "auth_token: ", "secret='"]
     rows_ = base.withColumn("h", noise("h")).withColumn("m", mixed)
     kinds = [
         # secrets
         (1, F.when(pickn("u", 3) == 0, F.upper(hexed)).otherwise(hexed), ['token = "', "token: ", "TOKEN=", 'secret = "', 'api_key = "', "password='", "Authorization: Bearer "], ['"', "'", " ", '" and']),
         (1, hexed, ['le of token = "', 'and the TOKEN = "', 'it apikey: "', "secret_key="], ['"', '" ', '"!!']),
         (1, short, ['access_key = "', "API_KEY=", 'client_secret: "', "Bearer ", 'password = "', "auth_token: "], ['"', " ", "'"]),
+        (1, F.when(pickn("n", 2) == 0, short).otherwise(hexed), named, ["", " ", "&x=1", "\n"]),
+        (1, letters, named + ["password: ", 'token = "', "Authorization: Bearer "], ["", " ", '"', "&x=1", "\n"]),
+        (1, signed, ["password=", "password: ", 'passwd = "', "DB_PASSWORD=", "pwd=", "secret: '", '"password": "', "&password="], ["", " ", '"', "\n"]),
+        (1, F.when(pickn("n", 2) == 0, small).otherwise(F.substring("m", 9, 10)), ["password=", "password: ", 'passwd = "', "DB_PASSWORD=", "pwd=", "secret: '", '"password": "', "&password="], ["", " ", '"', "\n"]),
         (1, F.concat(one("p", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-"]), short), ["", "use ", 'key = "', "id: ", "and "], ["", '"', " "]),
         # harmless
         (0, hexed, ["commit ", "sha256: ", "checksum = ", "md5 ", "revision ", 'integrity="sha256-', "the hash of it is ", 'digest = "'], ["", " ", '"']),
@@ -92,6 +105,13 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (0, F.concat(F.substring(F.translate(F.col("h"), "abcdef", "123456"), 1, 16), F.lit("")), ["call ", "card ", "number ", "order ", "", "the "], [" ", ".", ",", ""]),
         (0, F.concat(one("e", ["example", "your-token-here-", "placeholder_", "xxxxxxxxxxxxxxxx", "0000000000000000", "changeme-changeme"]), pickn("en", 10000).cast("string")), ['token = "', "API_KEY=", 'password: "', "secret="], ['"', " ", ""]),
         (0, hexed, ["the ", "from /blob/", "https://example.com/files/", "?v=", "etag "], ["", ".js", ".png", " "]),
+        (0, F.concat(*plain), prose, [" ", '"', ".", ",", ""]),
+        (0, F.when(pickn("n", 2) == 0, F.lower(compound)).otherwise(compound), prose, [" ", ".", ",", ""]),
+        (0, F.concat_ws("_", *[F.upper(x) for x in plain[:5]]), ["export ", "", "\n", " "], ["=", " ", "=1", ":"]),
+        (0, F.concat(F.lit("/"), F.concat_ws("/", *plain[:5])), ["in ", "https://example.com", 'href="', ""], [".html", ".py", '"', " "]),
+        (0, F.concat(F.repeat(one("r", ["-", "_", "/", "+-", "-+", "="]), pickn("rn", 40) + 16), F.lit("")), ["", "\n", " ", "secret\n"], ["", "\n", " "]),
+        (0, one("v", ["true", "false", "none", "None", "null", "string", "required", "optional", "your_password", "password", "undefined", "process.env.TOKEN", "os.environ", "config.password", "self.token", "$TOKEN", "${TOKEN}", "changeme", "request.token", "token", "options", "value", "the", "this", "which"]), ["password: ", "token = ", "token=", 'secret: "', "auth: ", "API_KEY=", "private: "], [" ", "", '"', ",", "\n"]),
+        (0, F.concat(*plain[:2]), ["password: ", "token: ", "secret: ", "signature: ", "private: "], [" ", ".", ","]),
         (0, words, ["api_key_", "secret ", 'password_field = "', "private "], [" ", '"', ""]),
     ]
     which, cases = pickn("kind", len(kinds)), []
@@ -128,12 +148,19 @@ def with_candidates(docs: DataFrame, forest: str, text_col: str = "text") -> Dat
     found = docs.withColumn("_hits", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     found = found.withColumn("parts", F.when(F.size("_hits") > 0, F.split(text, CANDIDATE)).otherwise(F.array(text)))
 
+    # the context is the text's own, other candidates in it included: enough of the pieces around to fill it
+    pairs = F.arrays_zip(F.col("parts").alias("p"), F.col("_hits").alias("h"))
+    found = found.withColumn("_pieces", F.flatten(F.transform(pairs, lambda z: F.array(z["p"], F.coalesce(z["h"], F.lit(""))))))
+
     def judge(hit: Column, k: Column) -> Column:
-        return F.struct(hit.alias("candidate"), F.right(F.get("parts", k), F.lit(CONTEXT)).alias("before"), F.left(F.get("parts", k + 1), F.lit(CONTEXT)).alias("after"))
+        first = F.greatest(2 * k + 2 - PIECES, F.lit(1))
+        before = F.array_join(F.slice("_pieces", first, 2 * k + 2 - first), "")
+        after = F.array_join(F.slice("_pieces", 2 * k + 3, F.lit(PIECES)), "")
+        return F.struct(hit.alias("candidate"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
 
     found = found.withColumn("_seen", F.transform("_hits", judge))
     found = found.withColumn("_seen", F.transform("_seen", lambda x: F.struct(x["candidate"], x["before"], x["after"], features(x["candidate"], x["before"], x["after"]).alias("f"))))
-    return found.withColumn("found", F.expr(f"transform(_seen, x -> struct(x.candidate, x.before, x.after, {forest.replace('FOREST', 'x.f')} as probability))")).drop("_hits", "_seen")
+    return found.withColumn("found", F.expr(f"transform(_seen, x -> struct(x.candidate, x.before, x.after, {forest.replace('FOREST', 'x.f')} as probability))")).drop("_hits", "_pieces", "_seen")
 
 
 def default_forest(spark: SparkSession) -> str:
@@ -153,7 +180,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", for
         F.array(F.lit(0)),
         lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get("parts", k)) + F.length(F.get("found", k)["candidate"]))),
     )
-    spans = judged.filter(F.size("found") > 0).withColumn("ends", grown).select("doc_id", "parts", "ends", F.posexplode("found").alias("ordinal", "x"))
+    # the outer form: for the other the planner adds a filter on all of ``found``, which runs the pattern many times over
+    spans = judged.filter(F.size("parts") > 1).withColumn("ends", grown).select("doc_id", "parts", "ends", F.posexplode_outer("found").alias("ordinal", "x"))
     start = F.get("ends", F.col("ordinal")) + F.length(F.get("parts", F.col("ordinal")))
     return spans.select("doc_id", "ordinal", start.cast("long").alias("start"), F.length("x.candidate").cast("long").alias("length"), "x.before", "x.candidate", "x.probability", (F.col("x.probability") > threshold).alias("secret"))
 

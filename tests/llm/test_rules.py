@@ -128,6 +128,24 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, []), forest=forest).count() == 0
 
 
+def test_secrets_after_an_equals_sign(spark):
+    hexed = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [
+        f"TOKEN={hexed}",
+        f"export API_KEY={hexed} x",
+        f"curl https://example.com/v1?token={hexed}&page=2",
+        f"password={hexed}\nUSER=me",
+        f"MY_SERVICE_ACCESS_TOKEN={hexed}",
+    ]
+    docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    forest = secrets.default_forest(spark)
+    found = [r for r in secrets.scan(docs, forest=forest).collect() if r.secret]
+    assert sorted((r.doc_id, r.candidate) for r in found) == [(i, hexed) for i in range(len(texts))]
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == hexed and texts[r.doc_id][: r.start].endswith(r.before) for r in found)
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest=forest).collect()}
+    assert clean == {i: t.replace(hexed, "[SECRET]") for i, t in enumerate(texts)}
+
+
 def test_forest_sql_is_the_model(spark):
     findings = secrets.labelled_findings(spark, 600)
     model = secrets.train(findings, trees=4, depth=4)

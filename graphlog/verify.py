@@ -18,6 +18,8 @@ from .fold import fold
 from .operators.policy import Policy, findings, signature_counts
 from .schema import FoldedGraph
 
+#: Diagnostics and findings that a report shows.
+SHOWN = 1000
 KEY_NAMES = ("transport-key", "transportKey", "publicKey")
 
 
@@ -116,13 +118,17 @@ def embedded_keys(g: FoldedGraph) -> list[PublicKey]:
 
 @dataclass
 class Report:
-    """``ok``: no diagnostics, no invalid signature, no finding that is an error."""
+    """``ok``: no diagnostics, no invalid signature, no finding that is an error, among all there are.
+
+    ``diagnostics`` and ``findings`` (errors first) are for display, ``SHOWN`` of each; ``cut`` if there are more.
+    """
 
     ok: bool
     keys: list[PublicKey]
     counts: dict[str, dict[str, int]]
     diagnostics: list[tuple[str, str]]
     findings: list[tuple[str, str, str]]
+    cut: bool = False
 
 
 def verify(spark: SparkSession, path: str, *, signers: dict[str, bytes] | None = None, policy: Policy | None = None, expected_head: bytes | None = None) -> Report:
@@ -131,7 +137,9 @@ def verify(spark: SparkSession, path: str, *, signers: dict[str, bytes] | None =
     known = {k.kid: k.raw for k in keys} or None
     g = fold(spark, path, signers=known, expected_head=expected_head)
     counts = {r.path: {c: r[c] for c in ("signed", "valid", "trusted", "invalid", "unverified")} for r in signature_counts(g, policy or Policy()).collect()}
-    notes = [(r.code, r.detail) for r in g.diagnostics.orderBy("path", "seg", "item", "row").limit(1000).collect()]
-    found = [(r.path, r.code, r.severity) for r in findings(g, policy).limit(1000).collect()]
-    ok = not notes and not any(c["invalid"] for c in counts.values()) and not any(f[2] == "error" for f in found)
-    return Report(ok, keys, counts, notes, found)
+    notes = [(r.code, r.detail) for r in g.diagnostics.orderBy("path", "seg", "item", "row").limit(SHOWN + 1).collect()]
+    all_found = findings(g, policy)
+    found = [(r.path, r.code, r.severity) for r in all_found.orderBy(F.col("severity") != "error", "path", "seg", "code").limit(SHOWN + 1).collect()]
+    failed = not all_found.filter("severity = 'error'").isEmpty()
+    ok = not notes and not any(c["invalid"] for c in counts.values()) and not failed
+    return Report(ok, keys, counts, notes[:SHOWN], found[:SHOWN], max(len(notes), len(found)) > SHOWN)

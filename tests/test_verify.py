@@ -42,3 +42,17 @@ def test_two_passes(spark, tmp_path):
     assert not verify.verify(spark, str(tmp_path / "x"), expected_head=b"\0" * 32, policy=Policy(("me",))).ok
     (tmp_path / "y").write_bytes(flipped(whole, -1, 1))
     assert not verify.verify(spark, str(tmp_path / "y")).ok
+
+
+def test_errors_behind_many_warnings(spark, tmp_path, monkeypatch):
+    def many(g, policy=None):
+        rows = spark.range(3000).selectExpr("concat('f', id) path", "0 seg", "'x' profile", "'ProfileVocabularyUnused' code", "'warning' severity")
+        return rows.unionByName(spark.range(1).selectExpr("'z' path", "0 seg", "'evidence' profile", "'ProfileSignatureRequired' code", "'error' severity"))
+
+    (tmp_path / "x").write_bytes(data(("terms", CATS), ("quads", [Q])))
+    assert verify.verify(spark, str(tmp_path / "x")).ok
+    monkeypatch.setattr(verify, "findings", many)
+    got = verify.verify(spark, str(tmp_path / "x"))
+    assert not got.ok
+    assert got.cut and len(got.findings) == 1000
+    assert got.findings[0] == ("z", "ProfileSignatureRequired", "error")

@@ -22,7 +22,7 @@ from ..wire.cbor import CborError, Reader
 
 EVENTS = "path string, seg int, item long, kind string, ids array<long>, texts array<string>, raw binary"
 STATE = "seg int, expected binary, catalog binary, kinds binary, head binary"
-#: Bytes of a file that one batch takes at most.
+#: Bytes of a file that one batch takes at most, unless its next item alone is larger.
 BATCH_BYTES = 64 << 20
 
 
@@ -32,18 +32,23 @@ class _Range(InputPartition):
 
 
 def whole_items(path: str, start: int, most: int = BATCH_BYTES) -> int:
-    """The byte after the last whole item in a file, from ``start`` on."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read(most)
-    reader, at = Reader(data), 0
-    while at < len(data):
-        try:
-            reader.item()
-        except (CborError, RecursionError):
-            break
-        at = reader.at
-    return start + at
+    """The byte after the last whole item in a file, from ``start`` on; if no item ends in ``most`` bytes, the read is
+    doubled until one does or the file ends."""
+    while True:
+        with open(path, "rb") as f:
+            f.seek(start)
+            data = f.read(most)
+        reader, at, partial = Reader(data), 0, False
+        while at < len(data):
+            try:
+                reader.item()
+            except (CborError, RecursionError) as e:
+                partial = getattr(e, "partial", False)
+                break
+            at = reader.at
+        if at or not partial or len(data) < most:
+            return start + at
+        most *= 2
 
 
 class _StreamReader(DataSourceStreamReader):

@@ -69,3 +69,17 @@ def test_windows_stream_like_batch(spark, tmp_path, name):
     q = stream.writeStream.format("memory").queryName(f"w_{name}").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert Counter(map(tuple, spark.table(f"w_{name}").collect())) == Counter(map(tuple, query(events).collect()))
+
+
+def test_an_item_larger_than_a_batch(tmp_path):
+    whole = data(("terms", CATS), ("quads", [Q]))
+    (tmp_path / "a").write_bytes(whole)
+    at, steps = 0, 0
+    while at < len(whole):
+        after = logs.whole_items(str(tmp_path / "a"), at, 8)
+        assert after > at
+        at, steps = after, steps + 1
+    assert at == len(whole) and steps > 1
+    (tmp_path / "a").write_bytes(whole[:-3])
+    torn = logs.whole_items(str(tmp_path / "a"), 0, 1 << 20)
+    assert logs.whole_items(str(tmp_path / "a"), torn, 8) == torn < len(whole)

@@ -38,8 +38,19 @@ FRAGMENTS = (
 #: Words that stand near secrets, and words that stand near harmless identifiers.
 SECRET_WORDS = r"(?i)(secret(?!ar)|token(?!i)|passw|pwd|api.?key|access.?key|private|credential|auth(?!or(?!i[sz]))|bearer|signature)"
 HARMLESS_WORDS = r"(?i)(commit|sha1|sha256|sha-|md5|checksum|digest|hash|uuid|guid|revision|blob|etag|version|order|invoice|isbn|example|sample|dummy|placeholder|build|release|integrity)"
-#: A run of at least 16 token characters with a digit, where no such character comes before it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: A value assigned to a secret word's name: the rest of the name, the sign. The short lookbehinds spare most places the long one.
+_ASSIGNED = rf"(?<=[\s:=>\"'`])(?<=[:=>][\s\"'`\\]{{0,4}})(?<={SECRET_WORDS.replace('(?i)(', '(?i:')}[A-Za-z0-9_.-]{{0,16}}[\"'`\]\\]{{0,3}}\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}"
+_BARE = r"[^\s\"'`\\<>&,;|()\[\]{}"
+#: Candidates, whatever their characters are: values of 4 and more assigned to a secret word (quoted, or bare up to a
+#: separator), what a request is authorized with, and every other run of at least 16 token characters.
+CANDIDATE = "|".join(
+    [
+        _ASSIGNED + r"\\?[\"'`])[^\s\"'`\\]{4,}",
+        _ASSIGNED + rf")(?!(?i:bearer|basic|token|digest)\s){_BARE}]{{3,}}{_BARE}.:?]",
+        r"(?<=[rRcC]\s)(?<=(?i:\bbearer|authorization: basic)\s)[A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2}",
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}",
+    ]
+)
 FEATURES = ["length", "transitions", "letters", "digits", "hexadecimal", "coverage", "variety", "path", "assigned", "quoted", "secret_words", "harmless_words"]
 
 

@@ -146,6 +146,27 @@ def test_secrets_after_an_equals_sign(spark):
     assert clean == {i: t.replace(hexed, "[SECRET]") for i, t in enumerate(texts)}
 
 
+def test_secrets_of_any_characters(spark):
+    late = "kQzXvBpNwJtRmLcYdHsF" * 4 + "7"
+    values = {
+        'secret = "{}" x': "qWzRtKpLmXvBnHjYcDsF",
+        "api_key={}": "qWzRtKpLmXvBnHjYcDsF",
+        "token={}": late,
+        'password: "{}"': "Tr0ub4dor&3",
+        "DB_PASSWORD={}\nX=1": "p@ssw0rd!",
+        '{{"password": "{}"}}': "kzqvxwjp",
+        "Authorization: Bearer {}": "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM",
+    }
+    harmless = ["the internationalizationandlocalization of it", "token = None", "Author: Schwarzenegger", "-" * 40, "see https://example.com/some/long/path/to/index.html", "def very_long_function_name_here():", "token = request.token"]
+    texts = [t.format(v) for t, v in values.items()] + harmless
+    docs = documents(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    forest = secrets.default_forest(spark)
+    found = sorted((r.doc_id, r.candidate) for r in secrets.scan(docs, forest=forest).collect() if r.secret)
+    assert found == list(enumerate(values.values()))
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest=forest).collect()}
+    assert clean == dict(enumerate([t.format("[SECRET]") for t in values] + harmless))
+
+
 def test_forest_sql_is_the_model(spark):
     findings = secrets.labelled_findings(spark, 600)
     model = secrets.train(findings, trees=4, depth=4)

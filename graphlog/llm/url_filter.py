@@ -14,12 +14,14 @@ from .common import pick
 
 MAX_RULES = 1_000_000
 ALLOW, BLOCK = "allow", "block"
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class Trie:
     """Labels from the right, then path segments. A rule's last segment may be the beginning of a longer one.
 
-    The longest host wins, then the longest path; of two equal rules, block.
+    The rule with the longest host and path together wins; of two as long, the one with the longer host; of two equal
+    rules, block.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -28,7 +30,7 @@ class Trie:
             if n >= MAX_RULES:
                 raise ValueError(f"over {MAX_RULES} rules")
             node = self.root
-            for label in reversed(host.lower().split(".")):
+            for label in reversed(host.translate(_LOWER).split(".")):
                 node = node.setdefault(("host", label), {})
             paths = node.setdefault("paths", {})
             if path:
@@ -40,31 +42,32 @@ class Trie:
             tails = paths.setdefault("tails", {})
             if tails.get(tail, (ALLOW,))[0] != BLOCK:
                 tails[tail] = (verdict, host + path)
+                paths["sizes"] = sorted({len(t) for t in tails if t is not None}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits, else None."""
-        node, nodes = self.root, []
+        node, found = self.root, None
+        segments = path[1:].split("/") if path.startswith("/") else []
         for label in reversed(host.split(".")):
             node = node.get(("host", label))
             if node is None:
                 break
-            if "paths" in node:
-                nodes.append(node["paths"])
-        segments = path[1:].split("/") if path.startswith("/") else []
-        for node in reversed(nodes):
-            best = node.get("tails", {}).get(None)
-            for segment in segments:
-                tails = node.get("tails", {})
-                best = next((tails[segment[:n]] for n in range(len(segment), -1, -1) if segment[:n] in tails), best)
-                node = node.get(("seg", segment))
-                if node is None:
-                    break
-            if best:
-                return best
-        return None
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
+            best = self._below(node["paths"], segments) if "paths" in node else None
+            if best and (found is None or len(best[1]) >= len(found[1])):
+                found = best
+        return found
+
+    @staticmethod
+    def _below(node: dict, segments: list[str]) -> tuple[str, str] | None:
+        """The longest path below a host. Only beginnings as long as some rule's last segment are looked up."""
+        best = node.get("tails", {}).get(None)
+        for segment in segments:
+            tails = node.get("tails", {})
+            best = next((tails[segment[:n]] for n in node.get("sizes", ()) if n <= len(segment) and segment[:n] in tails), best)
+            node = node.get(("seg", segment))
+            if node is None:
+                break
+        return best
 
 
 def parse(url: str | None) -> tuple[str, str]:
@@ -81,7 +84,8 @@ def parse(url: str | None) -> tuple[str, str]:
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", default: str = ALLOW) -> DataFrame:
     """page_id, host, path, rule, verdict for every row; where no rule fits, rule is null and the verdict ``default``.
 
-    ``rules``: (verdict, host, path); path "" or beginning with "/". Null and malformed urls fit no rule.
+    ``rules``: (verdict, host, path); path "" or beginning with "/". Null and malformed urls have neither host nor path
+    and fit no rule. Repeated rows are judged each for itself; an empty table gives none; other columns are left out.
     """
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(Trie(list(rules)))

@@ -237,3 +237,8 @@ def test_url_filter(spark):
     assert trie.find("c.b", "/xy") == ("block", "b/x")
     assert trie.find("a.b", "/y/zz") == ("allow", "a.b/y/z")
     assert trie.find("b", "/") is None
+    longer = url_filter.Trie([("block", "com", "/en/long"), ("allow", "example.com", "/en"), ("block", "example.com", "/e"), ("allow", "com", "/x/y")])
+    assert longer.find("example.com", "/en/longer") == ("allow", "example.com/en")  # 14 characters against 11
+    assert longer.find("a.com", "/en/longer") == ("block", "com/en/long")
+    assert url_filter.Trie([("block", "com", "/en/so/long/a"), ("allow", "example.com", "/en")]).find("example.com", "/en/so/long/ab") == ("block", "com/en/so/long/a")
+    assert url_filter.Trie([("allow", "b", "/" + "z" * 9)]).find("b", "/" + "z" * 2_000_000) == ("allow", "b/" + "z" * 9)

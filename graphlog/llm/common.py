@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset, one of our own (tests, local mode)."""
+    """The shared folder of ``spark.checkpoint.dir``; only where it is unset and the master is local, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="graphlog-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -27,6 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def remove_later(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, in whatever store it is, when the application ends.
+
+    A result is lazy, so its files must outlive the call that made them; Hadoop's own list of files to delete on exit
+    takes care of it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and stored in the shared folder: later reads survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import Cache, below, pick, resident, tokenizer_path
 
 CAPACITY = 2048
-OPEN_BINS = 1 << 16
-#: So many pieces wait and enter longest first; the packing stays online over any number of them.
-LOOKAHEAD = 1 << 15
+OPEN_BINS = 128
+#: So many pieces, as they come, enter longest first; 1 takes every piece at once.
+LOOKAHEAD = 256
 END = b"\0\0\0\0"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -171,40 +171,29 @@ class Bins:
         return which
 
 
-def place(items: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
+def place(items: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, lookahead: int = LOOKAHEAD) -> DataFrame:
     """``items`` (doc_id, piece, length, ...) with sequence_id and offset.
 
     Only these few numbers are shuffled, by document, into as many streams as the adaptive planner wants; each is
-    sorted, so a task that runs again packs alike. A length under 1 or over the capacity is an error.
+    sorted, so a task that runs again packs alike. A stream holds ``open_bins`` open bins and ``lookahead`` pieces,
+    whatever comes. A length under 1 or over the capacity is an error.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        waiting: list[pa.RecordBatch] = []
-
-        def enter() -> Iterator[pa.RecordBatch]:
-            lengths = np.concatenate([np.asarray(b.column("length").to_pylist(), float) for b in waiting])
+        for batch in batches:
+            lengths = np.asarray(batch.column("length").to_pylist(), float)
             if not ((lengths >= 1) & (lengths <= capacity)).all():
                 raise ValueError(f"a piece must have 1 to {capacity} tokens")
             places = np.empty((2, len(lengths)), np.int64)
-            for k in np.argsort(-lengths, kind="stable").tolist():
-                places[:, k] = bins.place(int(lengths[k]))
-            at = 0
-            for b in waiting:
-                which, offset = places[:, at : at + len(b)]
-                at += len(b)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(which + base), pa.array(offset)], [*b.schema.names, "sequence_id", "offset"])
-            waiting.clear()
-
-        for batch in batches:
-            waiting.append(batch)
-            if sum(map(len, waiting)) >= LOOKAHEAD or sum(b.nbytes for b in waiting) >= 64 << 20:
-                yield from enter()
-        if waiting:
-            yield from enter()
+            for at in range(0, len(lengths), lookahead):
+                for k in (at + np.argsort(-lengths[at : at + lookahead], kind="stable")).tolist():
+                    places[:, k] = bins.place(int(lengths[k]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places[0] + base), pa.array(places[1])], [*batch.schema.names, "sequence_id", "offset"])
 
     schema = items.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    dealt = items.repartition(F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions("doc_id", "piece", "length", *[c for c in ("ids_crc32",) if c in items.columns])
+    tie = [c for c in ("ids_crc32",) if c in items.columns]
+    dealt = items.repartition(F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions("doc_id", "piece", "length", *tie)
     return dealt.mapInArrow(pack, schema)
 
 

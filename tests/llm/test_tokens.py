@@ -71,6 +71,8 @@ def test_packing(spark):
             at += length
         assert at <= 2048
     total = sum(r.length for r in rows)
+    bounded = packing.place(packing.pieces(documents(spark)), open_bins=2, lookahead=1).collect()
+    assert Counter((r.doc_id, r.piece, r.length) for r in bounded) == Counter((r.doc_id, r.piece, r.length) for r in rows)
     assert len(places) <= total / 2048 + spark.conf.get("spark.sql.shuffle.partitions").__len__() + 4
     sequences = packing.sequences(packing.pack(documents(spark), with_ids=True)).collect()
     assert sum(len(r.ids) for r in sequences) == 4 * total
@@ -90,6 +92,7 @@ def test_bins_close_the_fullest():
 
 
 def test_separator_scan(spark, tmp_path):
+    """Byte ranges of flat files by many tasks, with spans of the prefix scan that hold one block, some and all."""
     rng, want = random.Random(1), []
     for f in range(3):
         ids = []
@@ -101,14 +104,32 @@ def test_separator_scan(spark, tmp_path):
             ids += [7] * 90
             want.append((f"f{f}", k + 1, 90))
         np.array(ids, "<u2").tofile(tmp_path / f"f{f}")
-    for block in (1, 3, 16, 1000):
-        assert sorted(map(tuple, token_counts.scan(spark, str(tmp_path), block_tokens=block).collect())) == sorted(want)
+    np.array([], "<u2").tofile(tmp_path / "empty")
+    for block, span in ((1, 1), (1, 7), (3, 4), (16, 2), (1000, 3)):
+        blocks = token_counts.flat_blocks(spark, str(tmp_path), block_tokens=block, to_task=5)
+        got = token_counts.scan(blocks, span=span).collect()
+        assert sorted((r.file.rsplit("/", 1)[-1], r.ordinal, r.n_tokens) for r in got) == sorted(want)
+
+
+def test_one_flat_file_is_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 400, 3_000_000).astype("<u2")
+    ids[ids == 0] = 50256
+    ids[1_000_000:2_000_000] = 9  # a document over many blocks and spans
+    ids.tofile(tmp_path / "flat")
+    blocks = token_counts.flat_blocks(spark, str(tmp_path), block_tokens=10_000, to_task=10)
+    assert blocks.rdd.getNumPartitions() >= 25
+    ends = np.flatnonzero(np.append(ids, 50256) == 50256)
+    want = np.diff(np.concatenate([[-1], ends])) - 1
+    got = token_counts.scan(blocks, span=16).orderBy("ordinal").toPandas()
+    assert got.n_tokens.tolist() == want.tolist()[: len(got)] and len(want) - len(got) == (want[-1] == 0)
 
 
 def test_token_counts(spark):
     library = tokenizer("byte_bpe_50k.json")
     got = Counter(map(tuple, token_counts.count(documents(spark)).collect()))
     assert got == Counter((i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in corpus())
+    assert Counter(map(tuple, token_counts.count(documents(spark), block_tokens=50).collect())) == got
     assert token_counts.count(documents(spark, [])).collect() == []
 
 

@@ -37,8 +37,30 @@ def test_substring_dedup_of_repeats(spark):
     hot = prose(rng, 20)
     rows = [(i, f"{prose(rng, 20)} {hot} {prose(rng, 5)}", "en") for i in range(80)]
     rows += [(100, "la " * 60, "en"), (101, "la " * 30 + prose(rng, 9), "en"), (50, " ".join([hot] * 3), "en"), (102, " ".join([rows[5][1]] * 2), "en")]
-    got = substring_dedup.dedup(documents(spark, rows, 7)).select("doc_id", "n_words", "n_removed", "kept").collect()
-    assert Counter(map(tuple, got)) == struck(rows)
+    for how in ({}, {"heavy": 3}, {"heavy": 1, "shards": 400}, {"shards": 1}):
+        got = substring_dedup.dedup(documents(spark, rows, 7), **how).select("doc_id", "n_words", "n_removed", "kept").collect()
+        assert Counter(map(tuple, got)) == struck(rows), how
+
+
+def test_windows_that_the_first_document_lacks():
+    """One anchor, many contexts: statistics against the smallest document settle some windows, the second index the rest."""
+    rng = np.random.default_rng(6)
+    words = rng.integers(1, 1 << 48, 4000).astype(np.uint64)
+    stretches, docs = [], []
+    for d in range(60):
+        a, b = rng.integers(0, 3), rng.integers(0, 3)
+        stretches.append(np.concatenate([words[100 * a : 100 * a + 8], words[3000:3005], words[2000 + 100 * b : 2000 + 100 * b + 8]]))
+        docs.append(int(rng.integers(0, 20)))
+    size = np.array([len(x) for x in stretches])
+    which, at, gone = substring_dedup.removed(np.concatenate(stretches), np.cumsum(size) - size, size, np.array(docs))
+    found = {}
+    for x, d in zip(stretches, docs, strict=True):
+        for k in range(len(x) - 12):
+            key = x[k : k + 13].tobytes()
+            found[key] = min(found.get(key, d), d)
+    # all stretches here count as one anchor's: the least gram's, which may differ from the shared one
+    want = [found[stretches[w][k : k + 13].tobytes()] < docs[w] for w, k in zip(which, at, strict=True)]
+    assert gone.tolist() == want and 0 < sum(want) < len(want)
 
 
 def test_substring_dedup_of_nothing(spark):

@@ -216,6 +216,34 @@ def test_ann_recall(spark):
     assert ann.search(data.limit(0), data).count() == 0
 
 
+def test_ann_in_blocks_and_chunks(spark, monkeypatch):
+    """Many blocks and chunks merge to the same kind of answer, whatever the partitions are; few vectors are verified."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 32))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "7 as ask", "7 as block", "'x' as chunk", "0.5D as bound", "1 as dims", "2 as score")
+    monkeypatch.setattr(ann, "LEAST_BLOCK_ROWS", 1500)
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", 50)
+    got = {}
+    for parts in (1, 7):
+        some = data.repartition(parts)
+        got[parts] = sorted(map(tuple, ann.search(some, some.filter("vec_id % 50 = 0")).collect()))
+    assert got[1] == got[7] and len(got[1]) == 600
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    hit = 0
+    for q in range(0, 6000, 50):
+        s = unit @ unit[q]
+        s[q] = -2
+        hit += len({v for i, _, v, _ in got[1] if i == q} & set(np.lexsort((np.arange(6000), -s))[:5].tolist()))
+    assert hit / 600 >= 0.9
+    index, weights = ann.Index(x[:3000]), np.ones(3000, int)
+    bounds = np.array([np.sqrt(2 - 2 * np.sort(unit[1:3000] @ unit[q])[-6]) for q in range(0, 3000, 50)])
+    radii, spans = index.windows(x[0:3000:50], bounds)
+    for q, r, w in zip(range(0, 3000, 50), radii, spans, strict=True):
+        index.search(x[q], r, w, weights, 6, False)
+    assert index.verified / (60 * 3000) < 0.1
+
+
 def test_url_filter(spark):
     urls = [
         "https://a.example.com/en/7", "http://EXAMPLE.com/en/70?x=1", "http://b.com/en/8", "http://b.com/en", "http://b.com", "https://x.net/de/1", "https://m.example.net/de/8#t", "https://m.example.net/de/9",

@@ -8,14 +8,18 @@ text's own row: no shuffle, no model object on the executors.
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+import json
+import re
+from collections.abc import Iterable
+from functools import cache, reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, tokenizer_path
 
 #: Characters of context on either side.
 CONTEXT = 40
@@ -25,33 +29,62 @@ FINDINGS = 4_000
 TREES, DEPTH, SEED = 12, 5, 17
 THRESHOLD = 0.5
 REPLACEMENT = "[SECRET]"
+#: Candidates of a text whose places are summed up in one array; the sums of an array cost its length squared.
+RUN = 256
 
-#: Word fragments of prose and code, for dictionary coverage.
-FRAGMENTS = (
-    "about after again all and any are been before being both but class code con could data default each er est ever every "
-    "example file find first for from function get good great has have her here his home how http image index ing into is ity "
-    "key lich like list log long main make ment more most name new not number of off old on one only other our out over page "
-    "path people place pre pro queue read request right said same see set should size some src state still string such test "
-    "than that the their them then there these they thing this those through time tion to token type under up use user value "
-    "version very view was way well were what when where which while who will with word work world would write year you"
-).split()
+#: The dictionary: the first so many words of 3 to 10 letters in the order of a public vocabulary.
+VOCABULARY, DICTIONARY = "byte_bpe_50k.json", 1_500
+#: How keys of well-known providers begin.
+PROVIDERS = r"^(AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|npm_|pypi-|sk-|[rs]k_live_|xox[abprs]-|SG\.|ya29\.|eyJ)"
 #: Words that stand near secrets, and words that stand near harmless identifiers.
 SECRET_WORDS = r"(?i)(secret(?!ar)|token(?!i)|passw|pwd|api.?key|access.?key|private|credential|auth(?!or(?!i[sz]))|bearer|signature)"
 HARMLESS_WORDS = r"(?i)(commit|sha1|sha256|sha-|md5|checksum|digest|hash|uuid|guid|revision|blob|etag|version|order|invoice|isbn|example|sample|dummy|placeholder|build|release|integrity)"
 #: A value assigned to a secret word's name: the rest of the name, the sign. The short lookbehinds spare most places the long one.
 _ASSIGNED = rf"(?<=[\s:=>\"'`])(?<=[:=>][\s\"'`\\]{{0,4}})(?<={SECRET_WORDS.replace('(?i)(', '(?i:')}[A-Za-z0-9_.-]{{0,16}}[\"'`\]\\]{{0,3}}\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}"
 _BARE = r"[^\s\"'`\\<>&,;|()\[\]{}"
-#: Candidates, whatever their characters are: values of 4 and more assigned to a secret word (quoted, or bare up to a
+#: Private keys in PEM blocks, and passwords in a URL's authority.
+_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-{1,4}(?!-)[^-]*+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_AUTHORITY = r"(?<=[^\s/]:)(?<=://[^\s/:@]{1,64}:)[^\s/@:\"'<>]{3,}(?=@[A-Za-z0-9\[])"
+#: Candidates, whatever their characters are: private keys, a URL's password, values of 4 and more assigned to a secret word (quoted, or bare up to a
 #: separator), what a request is authorized with, and every other run of at least 16 token characters.
 CANDIDATE = "|".join(
     [
+        _PEM,
+        _AUTHORITY,
         _ASSIGNED + r"\\?[\"'`])[^\s\"'`\\]{4,}",
         _ASSIGNED + rf")(?!(?i:bearer|basic|token|digest)\s){_BARE}]{{3,}}{_BARE}.:?]",
         r"(?<=[rRcC]\s)(?<=(?i:\bbearer|authorization: basic)\s)[A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2}",
         r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}",
     ]
 )
-FEATURES = ["length", "transitions", "letters", "digits", "hexadecimal", "coverage", "variety", "path", "assigned", "quoted", "secret_words", "harmless_words"]
+FEATURES = ["length", "transitions", "letters", "digits", "hexadecimal", "coverage", "variety", "path", "assigned", "quoted", "secret_words", "harmless_words", "provider"]
+
+
+@cache
+def dictionary(vocabulary: str = VOCABULARY, size: int = DICTIONARY) -> tuple[str, ...]:
+    """The commonest whole words of a public vocabulary, in its order."""
+    with open(tokenizer_path(vocabulary), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (w[1:].lower() for w in sorted(ids, key=ids.get) if w.startswith("Ġ") and w[1:].isascii() and w[1:].isalpha() and 3 <= len(w) - 1 <= 10)
+    return tuple(itertools.islice(dict.fromkeys(words), size))
+
+
+def any_of(words: Iterable[str]) -> str:
+    """A pattern of the longest of some words, as a trie, so that it costs no more than a word's length."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        rest = [re.escape(c) + pattern(node[c]) for c in sorted(node) if c]
+        if not rest:
+            return ""
+        return (rest[0] if len(rest) == 1 and "" not in node else f"(?:{'|'.join(rest)})") + "?" * ("" in node)
+
+    return pattern(trie)
 
 
 def features(text: Column, before: Column, after: Column) -> Column:
@@ -59,7 +92,7 @@ def features(text: Column, before: Column, after: Column) -> Column:
     size = F.length(text).cast("double")
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     runs = F.length(F.regexp_replace(plain, r"(.)\1*+", "x"))
-    rest = F.length(F.regexp_replace(F.lower(text), "(" + "|".join(sorted((w for w in FRAGMENTS if len(w) > 2), key=lambda w: (-len(w), w))) + ")", ""))
+    rest = F.length(F.regexp_replace(F.lower(text), any_of(dictionary()), ""))
     found = {
         "length": size,
         "transitions": (runs - 1) / size,
@@ -69,17 +102,18 @@ def features(text: Column, before: Column, after: Column) -> Column:
         "coverage": 1 - rest / size,
         "variety": F.size(F.array_distinct(F.split(text, ""))) / F.least(size, F.lit(24.0)),
         "path": (text.rlike("/.*/|^/") | before.rlike(r"(://|www\.|[/\\])[^\s?&=]*$") | after.rlike(r"^\.[a-z]{2,4}\b")).cast("double"),
-        "assigned": before.rlike(r"[:=]\s*[\"'`]?$").cast("double"),
+        "assigned": before.rlike(r"[:=]\s*[\"'`]?$|[:=]\s*[\"'`]?-----BEGIN").cast("double"),
         "quoted": before.rlike("[\"'`]$").cast("double"),
         "secret_words": before.rlike(SECRET_WORDS).cast("double"),
         "harmless_words": before.rlike(HARMLESS_WORDS).cast("double"),
+        "provider": text.rlike(PROVIDERS + "|^-----BEGIN").cast("double"),
     }
     return F.struct(*[found[name].alias(name) for name in FEATURES])
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     """Findings (candidate, before, after, label) with known answers, made from row numbers alone."""
-    base = spark.range(0, rows, 1, 1)
+    base, common = spark.range(0, rows, 1, 1), dictionary()[:400]
 
     def noise(salt: str, hashes: int = 2) -> Column:
         return reduce(F.concat, [F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"{salt}{k}")), 256) for k in range(hashes)])
@@ -89,12 +123,12 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
     mixed = F.translate(F.base64(F.unhex(noise("b"))), "+/=\n\r", "xYz")
     hexed = F.expr("substring(h, 1, 32 + 8 * cast(pmod(xxhash64(id, 'hl'), 3) as int))")
     short = F.expr("substring(m, 1, 20 + cast(pmod(xxhash64(id, 'ml'), 30) as int))")
-    words = F.concat(*[one(f"w{k}", FRAGMENTS) for k in range(6)], pickn("wn", 100).cast("string"))
+    words = F.concat(*[one(f"w{k}", common) for k in range(6)], pickn("wn", 100).cast("string"))
     letters = F.expr("substring(translate(m, '0123456789', 'kQwJzXvBpN'), 1, 16 + cast(pmod(xxhash64(id, 'll'), 64) as int))")
     small = F.lower(F.expr("substring(translate(m, '0123456789', 'kqwjzxvbpn'), 3, 6 + cast(pmod(xxhash64(id, 'sl'), 10) as int))"))
     signed = F.concat(F.expr("substring(m, 5, 3 + cast(pmod(xxhash64(id, 'pl'), 6) as int))"), one("sign", ["!", "@", "$", ".", "#", "%"]), F.expr("substring(m, 40, 2 + cast(pmod(xxhash64(id, 'pr'), 5) as int))"), one("last", ["!", "", "1", "$", ""]))
     compound = F.initcap(F.expr("substring(translate(h, '0123456789abcdef', 'eniretsahdulcghe'), 1, 16 + cast(pmod(xxhash64(id, 'cl'), 14) as int))"))
-    plain = [one(f"w{k}", FRAGMENTS) for k in range(6)]
+    plain = [one(f"w{k}", common) for k in range(6)]
     prose = ["the ", "and ", "", "et ", "und ", ", ", ". ", "of ", "secret ", "the token ", '" ', "\n"]
     named = ["TOKEN=", "export API_KEY=", "?token=", "&access_token=", "https://example.com/v1/list?api_key=", "password=", 'client_secret="', "DB_PASSWORD=", "auth_token: ", "secret='"]
     rows_ = base.withColumn("h", noise("h")).withColumn("m", mixed)
@@ -107,7 +141,9 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         (1, letters, named + ["password: ", 'token = "', "Authorization: Bearer "], ["", " ", '"', "&x=1", "\n"]),
         (1, signed, ["password=", "password: ", 'passwd = "', "DB_PASSWORD=", "pwd=", "secret: '", '"password": "', "&password="], ["", " ", '"', "\n"]),
         (1, F.when(pickn("n", 2) == 0, small).otherwise(F.substring("m", 9, 10)), ["password=", "password: ", 'passwd = "', "DB_PASSWORD=", "pwd=", "secret: '", '"password": "', "&password="], ["", " ", '"', "\n"]),
-        (1, F.concat(one("p", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-"]), short), ["", "use ", 'key = "', "id: ", "and "], ["", '"', " "]),
+        (1, F.concat(one("p", ["AKIA", "ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "npm_", "sk-"]), F.when(pickn("pu", 2) == 0, F.upper(short)).otherwise(short)), ["", "use ", 'key = "', "id: ", "and ", "key: ", "the ", "see "], ["", '"', " ", "."]),
+        (1, F.concat(F.lit("-----BEGIN "), one("pem", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY-----\n"), noise("k", 6), F.lit("\n-----END PRIVATE KEY-----")), ["", "\n", "key:\n", 'cert = "'], ["", "\n", '"']),
+        (1, F.when(pickn("n", 3) == 0, small).when(pickn("n", 3) == 1, short).otherwise(signed), ["postgres://admin:", "redis://default:", "see https://me:", "amqp://guest:", 'url = "mysql://root:'], ["@db.example.com", "@localhost:5432/x", "@10.0.0.1"]),
         # harmless
         (0, hexed, ["commit ", "sha256: ", "checksum = ", "md5 ", "revision ", 'integrity="sha256-', "the hash of it is ", 'digest = "'], ["", " ", '"']),
         (0, F.expr("concat_ws('-', substring(h,1,8), substring(h,9,4), substring(h,13,4), substring(h,17,4), substring(h,21,12))"), ["uuid ", 'id="', "guid: ", "request ", ""], ['"', " ", ""]),
@@ -174,8 +210,15 @@ def with_candidates(docs: DataFrame, forest: str, text_col: str = "text") -> Dat
     return found.withColumn("found", F.expr(f"transform(_seen, x -> struct(x.candidate, x.before, x.after, {forest.replace('FOREST', 'x.f')} as probability))")).drop("_hits", "_pieces", "_seen")
 
 
+_FITTED: dict[str, str] = {}
+
+
 def default_forest(spark: SparkSession) -> str:
-    return forest_sql(train(labelled_findings(spark)), "FOREST")
+    """The forest of ``labelled_findings``, fitted once in an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _FITTED:
+        _FITTED[app] = forest_sql(train(labelled_findings(spark)), "FOREST")
+    return _FITTED[app]
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", forest: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -185,20 +228,25 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", for
     """
     source = pick(docs, doc_id=id_col, text=text_col)
     judged = with_candidates(source, forest or default_forest(docs.sparkSession))
-    # running start: an array of lengths of what stands before each candidate
-    grown = F.aggregate(
-        F.sequence(F.lit(0), F.size("found") - 1),
-        F.array(F.lit(0)),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(F.get("parts", k)) + F.length(F.get("found", k)["candidate"]))),
-    )
+    # running starts, in runs of so many candidates: sums within each run, and of the runs before it
+    sizes = F.transform("found", lambda x, k: (F.length(F.get("parts", k)) + F.length(x["candidate"])).cast("long"))
+    grown = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
+    runs = F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / RUN).cast("int"))
+    within = F.transform(runs, lambda k: grown(F.slice("sizes", k * RUN + 1, F.lit(RUN)), lambda x: x))
+    judged = judged.filter(F.size("parts") > 1).withColumn("sizes", sizes).withColumn("within", within)
+    judged = judged.withColumn("before_run", grown(F.col("within"), lambda x: F.element_at(x, -1)))
     # the outer form: for the other the planner adds a filter on all of ``found``, which runs the pattern many times over
-    spans = judged.filter(F.size("parts") > 1).withColumn("ends", grown).select("doc_id", "parts", "ends", F.posexplode_outer("found").alias("ordinal", "x"))
-    start = F.get("ends", F.col("ordinal")) + F.length(F.get("parts", F.col("ordinal")))
+    spans = judged.select("doc_id", "parts", "within", "before_run", F.posexplode_outer("found").alias("ordinal", "x"))
+    run = F.floor(F.col("ordinal") / RUN).cast("int")
+    start = F.get("before_run", run) + F.get(F.get("within", run), F.col("ordinal") % RUN) + F.length(F.get("parts", F.col("ordinal")))
     return spans.select("doc_id", "ordinal", start.cast("long").alias("start"), F.length("x.candidate").cast("long").alias("length"), "x.before", "x.candidate", "x.probability", (F.col("x.probability") > threshold).alias("secret"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", forest: str | None = None, threshold: float = THRESHOLD, replacement: str = REPLACEMENT) -> DataFrame:
-    """``docs`` with every confirmed secret in the text replaced; all else stays as it is, null texts too."""
+    """``docs`` with every confirmed secret in the text replaced; all else stays as it is, null and empty texts too.
+
+    Repeated rows are each redacted alike; an empty table stays one.
+    """
     columns = docs.columns
     judged = with_candidates(docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text")), forest or default_forest(docs.sparkSession), "_text")
     kept = F.concat(F.transform("found", lambda x: F.when(x["probability"] > threshold, F.lit(replacement)).otherwise(x["candidate"])), F.array(F.lit("")))

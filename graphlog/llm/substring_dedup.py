@@ -537,18 +537,19 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ke
     row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("struct<none: int>")
     key = F.xxhash64(doc_id, text)
     source = docs.select(row.alias("row"), doc_id.alias("doc_id"), text.alias("text"), F.when(key == 0, F.lit(1)).otherwise(key).alias("key"))
-    # Both joins take the same columns of the same rows, so the texts are dealt out once and used twice.
-    def gathered(rows: DataFrame, column: str, *by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.collect_list(column).alias(column))  # at most a document's own
+    # Both joins are on the same column of the same rows, so the texts are dealt out once and used twice.
+    def gathered(rows: DataFrame, column) -> DataFrame:
+        return rows.groupBy("key").agg(F.collect_list(column).alias("gathered"))  # at most a document's own
 
     reported = source.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("key", "text").mapInArrow(_report_anchors(shards), _ANCHORS)
     found = cut(reported.groupBy("shard").applyInArrow(_shared_anchors(heavy), "key long, anchors binary, heavy long, runs long"))
     # Of n stretches in all at most MOST_HEAVY anchors can have n / MOST_HEAVY: no more than these reach the driver.
     total = found.filter("key is null and heavy is null").agg(F.sum("runs")).head()[0] or 0
     many = [r.heavy for r in found.filter(F.col("heavy").isNotNull() & (F.col("runs") >= total // MOST_HEAVY)).select("heavy").collect()]
-    shared = gathered(found.filter("key is not null").select("key", "anchors"), "anchors", "key")
+    shared = gathered(found.filter("key is not null").select("key", "anchors"), "anchors").withColumnRenamed("gathered", "anchors")
     stretches = source.join(shared, "key").mapInArrow(_send_stretches(shards, np.array(sorted(many), np.uint64)), _STRETCHES)
-    spans = gathered(stretches.groupBy("shard").applyInArrow(_removed_windows(), "key long, doc_id long, spans binary"), "spans", "key", "doc_id")
-    joined = source.join(spans, ["key", "doc_id"], "left")
+    spans = gathered(stretches.groupBy("shard").applyInArrow(_removed_windows(), "key long, doc_id long, spans binary"), F.struct(F.col("doc_id").alias("id"), "spans"))
+    own = F.transform(F.filter("gathered", lambda x: x["id"] == F.col("doc_id")), lambda x: x["spans"])
+    joined = source.join(spans, "key", "left").withColumn("spans", own).drop("gathered")
     schema = f"row {source.schema['row'].dataType.simpleString()}, doc_id long, n_words long, n_removed long, kept string"
     return joined.mapInArrow(_strike(whole), schema)

@@ -1,11 +1,17 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact verification decides.
 
-Each tree of the forest labels a text with a string of MinHash bytes; texts that share a prefix stand together in the
-tree's sorted order. Prefixes start at full depth and are shortened until two texts at the threshold meet in some tree
-with the target probability (``prefix_length``). A group of equal prefixes gives a star of candidate links, one for each
-member, never all pairs. Components of candidates are then verified exactly: every pair inside a component is counted,
-in blocks of bounded size, and only link counts and spanning links leave a task. So links are complete within a
-component, and a text is compared even with those it shares no prefix with.
+Each tree of the forest labels a text with a string of MinHash bytes. The labels of a tree, sorted, are its prefix trie:
+neighbours in that order share the longest prefixes, so one range-partitioned sort gives every text's matches with
+their depth (``matches``), a row per neighbour, never all pairs of a prefix. The texts that match to some depth in some
+tree are connected; components of candidates are verified exactly: every pair inside a component is counted, in blocks
+of bounded size, and only link counts and spanning links leave a task. So links are complete within a component, and a
+text is compared even with those it shares no prefix with.
+
+Prefixes start at full depth. The verified links tell how well they do: a link of similarity J is a match of depth k in
+some tree with probability P(J, k) = 1 - (1 - J**k)**trees, so n verified links stand for the sum of 1 / P of them
+(Horvitz-Thompson). Until their share reaches the target recall, all matched prefixes are shortened by one, and only
+components that grew are verified anew. With too few links for an estimate, the depth that has the target recall for
+pairs at the threshold itself (``prefix_length``) is the last.
 
 Texts with the same words are one node from the first step on, however many copies there are.
 """
@@ -17,6 +23,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +99,57 @@ def signatures(docs: DataFrame) -> DataFrame:
     return source.select("doc_id", "tkey", "text").mapInArrow(run, "doc_id long, tkey long, node binary, n long, labels binary")
 
 
-def candidates(nodes: DataFrame, length: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """Stars (a, b), a > b: each member of a prefix group with its least member."""
+#: Links that an estimate of the recall needs.
+ENOUGH = 200
+
+
+def met(similarity, depth: int, trees: int = TREES):
+    """The probability that two texts of this similarity match to ``depth`` in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def _neighbours(trees_first: dict, least: int):
+    """Each row of a sorted part with the one before it, where they match; the last with the first of the next part."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            node = batch.column("node")
+            if last is not None:
+                label, node = np.concatenate([last[0], label]), pa.concat_arrays([last[1], node])
+            yield from links(label, node, len(node) - 1)
+            last = label[-1:], node[-1:]
+        after = trees_first.get(TaskContext.get().partitionId())
+        if last is not None and after is not None:
+            label = np.concatenate([last[0], np.frombuffer(after[0], np.uint8)[None]])
+            yield from links(label, pa.concat_arrays([last[1], pa.array([after[1]], pa.binary())]), 1)
+
+    def links(label: np.ndarray, node: pa.Array, n: int):
+        if n < 1:
+            return
+        same = np.ones((n, label.shape[1] + 1), bool)
+        same[:, :-1] = label[1:] == label[:-1]
+        same[:, -1] = False
+        depth = same.argmin(axis=1) - 1  # the first byte is the tree
+        fine = np.flatnonzero(depth >= least)
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(fine + 1)), node.take(pa.array(fine)), pa.array(depth[fine], pa.int32())], ["a", "b", "depth"])
+
+    return run
+
+
+def matches(nodes: DataFrame, least: int, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """a, b, depth: neighbours in the sorted labels of a tree, and the length of the prefix they share, from ``least`` on."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = nodes.select("node", "labels", tree.alias("tree"))
-    rows = rows.select("node", F.xxhash64("tree", F.expr(f"substring(labels, tree * {depth} + 1, {length})")).alias("prefix"))
-    groups = rows.groupBy("prefix").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    return rows.join(groups.select("prefix", "least"), "prefix").filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    label = F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {depth} + 1, {depth})"))
+    rows = rows.select(label.alias("label"), "node")
+    rows = cut(rows.repartitionByRange("label", "node").sortWithinPartitions("label", "node"))
+    part = F.spark_partition_id()
+    # The first row of every part reaches the driver: as many rows as there are parts.
+    heads = rows.groupBy(part.alias("part")).agg(F.min(F.struct("label", "node")).alias("h")).orderBy("part").collect()
+    after = {k: (bytes(r.h.label), bytes(r.h.node)) for k, r in zip([h.part for h in heads], heads[1:], strict=False)}
+    return rows.mapInArrow(_neighbours(after, least), "a binary, b binary, depth int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -127,8 +178,8 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([*batch.select(["node", "root", "blocks"]).columns, pa.array(codes, pa.binary())], ["node", "root", "blocks", "codes"])
 
 
-def links(sets: list[np.ndarray], apart: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs (i, j) of sets with a Jaccard similarity of at least ``similarity``; with ``apart``, only pairs that differ in it."""
+def links(sets: list[np.ndarray], apart: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs (i, j) of sets with a Jaccard similarity of at least ``similarity``, and that; with ``apart``, only pairs that differ in it."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     codes, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -153,7 +204,7 @@ def links(sets: list[np.ndarray], apart: np.ndarray | None = None, similarity: f
     i, j = found // n, found % n
     # J >= s  <=>  common >= s / (1 + s) * (|A| + |B|)
     close = common[found] >= similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-9
-    return i[close], j[close]
+    return i[close], j[close], (common[found] / (sizes[i] + sizes[j] - common[found]))[close]
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -168,39 +219,33 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = least
 
 
-def _verify(similarity: float):
+def _verify(similarity: float, depths: list[int]):
+    """Per node of a block: its links, a node it is connected with, and for each depth how many links its own stand for."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = sorted({r["node"]: r for r in table.select(["node", "root", "block", "codes"]).to_pylist()}.values(), key=lambda r: (r["root"], r["node"]))
         cross = table.column("low")[0].as_py() != table.column("high")[0].as_py()
-        out: list[tuple[bytes, int, bytes]] = []
+        out: list[tuple] = []
         for _, group in itertools.groupby(rows, key=lambda r: r["root"]):
             group = list(group)
             if len(group) < 2:
                 continue
-            i, j = links([np.frombuffer(r["codes"], "<u8") for r in group], np.array([r["block"] for r in group]) if cross else None, similarity)
-            degree = np.bincount(np.concatenate([i, j]), minlength=len(group))
-            for r, d, top in zip(group, degree.tolist(), _roots(len(group), i, j).tolist(), strict=True):
+            i, j, close = links([np.frombuffer(r["codes"], "<u8") for r in group], np.array([r["block"] for r in group]) if cross else None, similarity)
+            ends = np.concatenate([i, j])
+            degree = np.bincount(ends, minlength=len(group))
+            stands = np.stack([np.bincount(ends, np.tile(1 / met(close, k), 2), len(group)) for k in depths], axis=1)
+            for r, d, top, w in zip(group, degree.tolist(), _roots(len(group), i, j).tolist(), stands.tolist(), strict=True):
                 if d:
-                    out.append((r["node"], d, group[top]["node"]))
-        node, degree, root = zip(*out, strict=True) if out else [()] * 3
-        return pa.table({"node": pa.array(node, pa.binary()), "links": pa.array(degree, pa.int64()), "top": pa.array(root, pa.binary())})
+                    out.append((r["root"], r["node"], d, group[top]["node"], w))
+        root, node, degree, top, stands = zip(*out, strict=True) if out else [()] * 5
+        columns = [pa.array(root, pa.binary()), pa.array(node, pa.binary()), pa.array(degree, pa.int64()), pa.array(top, pa.binary()), pa.array(stands, pa.list_(pa.float64()))]
+        return pa.table(columns, ["root", "node", "links", "top", "stands"])
 
     return run
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """A row per document: doc_id, class_id (least doc_id of its class), n_links (different texts linked to its own), n_copies (other rows with the same words).
-
-    A class is a connected component of links. Null and empty texts are classes of their own; a null id gives a null
-    class unless the text has other copies, and never names a class that has another id. Repeated rows are copies.
-    """
-    source = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = cut(signatures(source))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tkey")).alias("first")
-    nodes = cut(signed.filter("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")))
-
-    near = components(candidates(nodes, prefix_length(similarity, recall=recall)))
-    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+def _verified(texts: DataFrame, nodes: DataFrame, members: DataFrame, similarity: float, depths: list[int]) -> DataFrame:
+    """``_verify`` of all pairs inside each component of ``members`` (node, root), in blocks of about BLOCK shingles."""
     weighed = cut(members.join(nodes.select("node", "first", (F.col("n") + OWN).alias("weight")), "node"))
     sizes = cut(weighed.groupBy("root").agg(F.sum("weight").alias("weight")))
     total = sizes.agg(F.sum("weight")).head()[0] or 0
@@ -208,22 +253,62 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sim
     placed = weighed.select("node", "root", "first").join(sizes, "root")
     placed = placed.select("node", "root", (F.col("weight") / BLOCK).cast("int").alias("more"), F.col("first.doc_id").alias("doc_id"), F.col("first.tkey").alias("tkey"))
     placed = cut(placed.select("node", "root", (F.col("more") + 1).alias("blocks"), "doc_id", "tkey"))
-
-    texts = source.withColumn("tkey", F.xxhash64("text"))
     found = texts.join(placed, (texts["tkey"] == placed["tkey"]) & texts["doc_id"].eqNullSafe(placed["doc_id"]))
     sets = found.select("node", "root", "blocks", "text").mapInArrow(_sets, "node binary, root binary, blocks int, codes binary")
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(0).cast("int")
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pack = F.when(F.col("blocks") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
     paired = sets.select(pack.alias("pack"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "block", "codes")
-    verified = cut(paired.groupBy("pack", "low", "high").applyInArrow(_verify(similarity), "node binary, links long, top binary"))
+    return cut(paired.groupBy("pack", "low", "high").applyInArrow(_verify(similarity, depths), "root binary, node binary, links long, top binary, stands array<double>"))
+
+
+def _linked(texts: DataFrame, nodes: DataFrame, similarity: float, recall: float, report: dict | None) -> DataFrame:
+    """Verified links of the forest's candidates, prefixes shortened until the recall is reached."""
+    shortest = prefix_length(similarity, recall=recall)
+    matched = cut(matches(nodes, shortest))
+    depths = list(range(DEPTH, shortest - 1, -1))
+    old = verified = None
+    for step, depth in enumerate(depths):
+        near = components(matched.filter(F.col("depth") >= depth).select("a", "b").distinct())
+        members = cut(near.unionByName(near.select(F.col("root").alias("node"), "root").distinct()))
+        if old is None:
+            verified = _verified(texts, nodes, members, similarity, depths)
+        else:  # only components that hold more than one of the last step's
+            came = members.join(old.withColumnRenamed("root", "was"), "node", "left").withColumn("was", F.coalesce("was", "node"))
+            grown = cut(came.groupBy("root").agg(F.min("was").alias("least"), F.max("was").alias("most")).filter("least < most").select("root"))
+            some = members.join(grown, "root", "left_semi")
+            kept = verified.join(some.select("node"), "node", "left_anti")
+            verified = cut(kept.unionByName(_verified(texts, nodes, some, similarity, depths)))
+        old = members
+        found, stands = verified.agg(F.sum("links"), F.sum(F.get("stands", F.lit(step)))).head()
+        if report is not None:
+            report[depth] = (found or 0) / stands if stands else None
+        if (found or 0) >= 2 * ENOUGH and found >= recall * stands:
+            break
+    return verified
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL, with_keys: bool = False, report: dict | None = None) -> DataFrame:
+    """A row per document: doc_id, class_id (least doc_id of its class), n_links (different texts linked to its own), n_copies (other rows with the same words).
+
+    A class is a connected component of links. Null and empty texts are classes of their own; a null id gives a null
+    class unless the text has other copies, and never names a class that has another id. Repeated rows are copies. An
+    empty table gives none. ``with_keys`` adds tkey (``xxhash64`` of the text) and class_key, a digest that names a class
+    even where it has no id (null: no words); ``report`` is given the estimated recall of each depth that was tried.
+    """
+    source = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    signed = cut(signatures(source))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "tkey")).alias("first")
+    nodes = cut(signed.filter("node is not null").groupBy("node").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("labels").alias("labels")))
+    verified = _linked(source.withColumn("tkey", F.xxhash64("text")), nodes, similarity, recall, report)
 
     classes = components(verified.select(F.col("node").alias("a"), F.col("top").alias("b")))
     degree = verified.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(classes, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.col("first.doc_id").alias("least"))
     named = cut(named)
     names = cut(named.groupBy("root").agg(F.min("least").alias("class_id")))
-    named = cut(named.join(names, "root").select("node", "class_id", "links", "copies"))
-    full = signed.select("doc_id", "node").join(named, "node", "left")
+    named = cut(named.join(names, "root").select("node", "root", "class_id", "links", "copies"))
+    full = signed.select("doc_id", "tkey", "node").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return full.select("doc_id", own.alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"))
+    keys = ["tkey", F.col("root").alias("class_key")] if with_keys else []
+    return full.select("doc_id", own.alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("n_copies"), *keys)

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -132,14 +133,53 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
 
 
 def test_forest_recall():
-    """Two sets at the threshold meet in some tree; prefixes shorten until they do."""
+    """Two sets at the threshold meet in some tree as often as ``met`` says, depth by depth."""
     assert ngram_join.prefix_length(recall=0.5) == 8
-    length, forest, rng, met = ngram_join.prefix_length(), ngram_join.Forest(), np.random.default_rng(1), 0
-    for _ in range(100):
+    forest, rng, got = ngram_join.Forest(), np.random.default_rng(1), Counter()
+    for _ in range(300):
         x = rng.integers(0, 1 << 63, 180, np.uint64)
         a, b = forest.labels(x[:162]), forest.labels(x[18:])  # 144 of 180 in common
-        met += any(a[8 * t : 8 * t + length] == b[8 * t : 8 * t + length] for t in range(ngram_join.TREES))
-    assert met >= 99
+        for depth in (4, 6, 7, 8):
+            got[depth] += any(a[8 * t : 8 * t + depth] == b[8 * t : 8 * t + depth] for t in range(ngram_join.TREES))
+    for depth, n in got.items():
+        assert n / 300 >= ngram_join.met(0.8, depth) - 0.02
+
+
+def test_matches_are_sorted_neighbours(spark):
+    """The links of each depth connect exactly the texts that share prefixes of it, over all parts."""
+    rng = random.Random(3)
+    labels = [bytes(rng.choice([1, 2]) for _ in range(6)) for _ in range(150)]
+    rows = [(b"%03d" % k, x) for k, x in enumerate(labels)]
+    nodes = spark.createDataFrame(rows, "node binary, labels binary").repartition(6)
+    got = [(bytes(r.a), bytes(r.b), r.depth) for r in ngram_join.matches(nodes, 1, trees=2, depth=3).collect()]
+    assert all(max(sum(1 for _ in itertools.takewhile(lambda z: z[0] == z[1], zip(x, y, strict=True))) for x, y in [(labels[int(a)][3 * t : 3 * t + 3], labels[int(b)][3 * t : 3 * t + 3]) for t in (0, 1)]) >= d for a, b, d in got)
+    for depth in (1, 2, 3):
+        groups = {(t, x[3 * t : 3 * t + depth]) for x in labels for t in (0, 1)}
+        assert sum(d >= depth for _, _, d in got) == 2 * len(labels) - len(groups)
+
+
+def test_prefixes_shorten_until_the_recall_is_reached(spark, monkeypatch):
+    """Links far above the threshold end the search at full depth; links at it, or too few, shorten the prefixes."""
+    monkeypatch.setattr(ngram_join, "ENOUGH", 20)
+    rng = random.Random(11)
+
+    def family(edits):
+        rows = []
+        for f in range(12):
+            base = prose(rng, 150).split()
+            for k in range(5):
+                copy = list(base)
+                for at in rng.sample(range(0, 146, 5), edits(k)):
+                    copy[at] = f"e{f}x{k}x{at}"
+                rows.append((100 * f + k, " ".join(copy), "en"))
+        return rows
+
+    near, far, few = {}, {}, {}
+    for report, rows in ((near, family(lambda k: 1)), (far, family(lambda k: 1 + k % 2)), (few, family(lambda k: 1)[:5])):
+        assert Counter(map(tuple, ngram_join.join(documents(spark, rows), report=report).collect())) == linked(rows)
+    assert list(near) == [8] and near[8] >= 0.999
+    assert list(few) == [8, 7]
+    assert list(far)[0] == 8 and far[8] <= near[8]
 
 
 def test_components(spark):

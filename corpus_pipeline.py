@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlog.llm import ngram_join, packing, quality, secrets, substring_dedup
-from graphlog.llm.common import ensure_checkpoint_dir
+from graphlog.llm.common import WORD, cut, ensure_checkpoint_dir, remove_later
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates; without an id it stays if no copy has one."""
-    classes = ngram_join.join(docs)
+    """One document of each class of near duplicates: that with the least id, else, if none has one, some text's row.
+
+    Rows without an id and without words are classes of their own and stay.
+    """
+    classes = cut(ngram_join.join(docs, with_keys=True))
     first = classes.filter("doc_id = class_id").select("doc_id").distinct()
     named = docs.join(first, "doc_id").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    nameless = docs.filter("doc_id is null")
+    only = classes.filter("doc_id is null and class_id is null and class_key is not null").groupBy("class_key").agg(F.min("tkey").alias("_tkey"))
+    chosen = nameless.join(only.select("_tkey"), F.xxhash64("text") == F.col("_tkey"), "left_semi").dropDuplicates(["text"])
+    wordless = nameless.filter(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return named.select(docs.columns).unionByName(chosen).unionByName(wordless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; what each keeps is stored in the shared folder and read again by the next."""
+    """All stages over the whole table; what each keeps is stored in the shared folder and read again by the next.
+
+    The folder is removed when the application ends.
+    """
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_later(spark, folder)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

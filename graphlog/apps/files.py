@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .. import union
 from ..fold import KEY, blob_bytes
 from ..functions.text import MEDIA_TYPES, RDF, XSD, unsafe_path
+from ..operators.values import pivot_entities
 from ..plans.stored import stored
 from ..schema import FoldedGraph
 from ..wire.blake3 import digest_text
@@ -165,9 +166,8 @@ def listing(g: FoldedGraph) -> DataFrame:
     of = lambda c, name: terms.select(*KEY, F.col("tid").alias(c), F.col("lex").alias(name))
     rows = g.quads.join(of("p", "p_lex"), [*KEY, "p"]).join(of("o", "o_lex"), [*KEY, "o"])
     files = rows.filter((F.col("p_lex") == RDF + "type") & (F.col("o_lex") == NS + "FileEntry")).select(*KEY, "s")
-    named = rows.filter(F.col("p_lex").startswith(NS)).withColumn("field", F.substring("p_lex", len(NS) + 1, 100)).join(files, [*KEY, "s"], "left_semi")
-    last = lambda f: F.max_by(F.when(F.col("field") == f, F.col("o_lex")), F.when(F.col("field") == f, F.struct("item", "row")))
-    wide = named.groupBy(F.col("path").alias("log"), "seg", "s").agg(*[last(f).alias(f) for f in FIELDS]).filter("path is not null")
+    named = rows.filter(F.col("p_lex").startswith(NS)).withColumn("field", F.expr(f"substring(p_lex, {len(NS) + 1})")).join(files, [*KEY, "s"], "left_semi")
+    wide = pivot_entities(named.withColumnRenamed("path", "log"), list(FIELDS), by=("log", "seg", "s"), field="field", value="o_lex", order=("item", "row")).filter("path is not null")
     for c in NUMBERS:
         wide = wide.withColumn(c, F.col(c).try_cast("long"))
     wide = wide.withColumn("modified", F.try_to_timestamp("modified", F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).withColumn("type", F.coalesce("type", F.lit("file")))
@@ -180,7 +180,7 @@ def attributes(g: FoldedGraph, link: str = "xattr") -> DataFrame:
     """log, path, pairs of (name, value) in order: the extended attributes (or PAX records) of entries."""
     left, right = {"xattr": ("xattrName", "xattrValue"), "paxRecord": ("paxKey", "paxValue")}[link]
     terms = g.terms.select(*KEY, "tid", "lex")
-    p = terms.select(*KEY, F.col("tid").alias("p"), F.substring("lex", len(NS) + 1, 100).alias("field")).filter(F.col("field").isin(link, left, right))
+    p = terms.select(*KEY, F.col("tid").alias("p"), F.expr(f"substring(lex, {len(NS) + 1})").alias("field")).filter(F.col("field").isin(link, left, right))
     rows = g.quads.join(p, [*KEY, "p"])
     value = terms.select(*KEY, F.col("tid").alias("o"), "lex")
     child = rows.filter(F.col("field") == link).select(*KEY, "s", F.col("o").alias("child"))

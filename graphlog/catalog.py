@@ -127,13 +127,13 @@ def lang_remap(spark, d):
 @query("SELECT o_custkey AS reifier, arg_min(o_orderstatus, o_orderkey) AS s, arg_min(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey")
 def first_wins_reifier(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("reifier"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), "o_orderkey")
-    return V.first_binding(rows, "reifier", ["s", "p"], ["o_orderkey"])
+    return V.first_binding(rows, ["reifier"], ["s", "p"], ["o_orderkey"])
 
 
 @query("WITH f AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS s, arg_min(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY o_custkey) SELECT o_orderkey, o.o_custkey AS reifier FROM orders o JOIN f USING (o_custkey) WHERE o_orderstatus <> s OR o_orderpriority <> p")
 def reifier_conflicts(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("reifier"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), "o_orderkey")
-    return V.conflicts(rows, "reifier", ["s", "p"], ["o_orderkey"]).select("o_orderkey", "reifier")
+    return V.bindings(rows, ["reifier"], ["s", "p"], ["o_orderkey"])[1].select("o_orderkey", "reifier")
 
 
 @query("SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events GROUP BY user_id, event_type")
@@ -207,16 +207,6 @@ def surviving_statements(spark, d):
 # ---------------------------------------------------------------- log order
 
 
-@query("WITH e AS (SELECT event_id, sha256(CAST(event_id AS VARCHAR) || props) AS id FROM events), p AS (SELECT event_id, id, lag(id) OVER (ORDER BY event_id) AS before FROM e), c AS (SELECT *, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE coalesce(before, 'genesis') END AS prev FROM p) SELECT count(*) AS frames, count(*) FILTER (prev <> coalesce(before, 'genesis')) AS broken, min(event_id) FILTER (prev <> coalesce(before, 'genesis')) AS first_broken FROM c")
-def frame_chain(spark, d):
-    """prev against the id before: a lag per segment; here a segment for each day, checked across its border as well."""
-    from .operators.logs import chain
-
-    events = table(spark, d, "events").select("event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "props"), 256).alias("id"))
-    checked = chain(events.withColumn("path", F.lit("events")), "event_id", broken=F.col("event_id") % 50 == 7)
-    return checked.agg(F.count("*").alias("frames"), F.count_if(~F.col("chain_ok")).alias("broken"), F.min(F.when(~F.col("chain_ok"), F.col("event_id"))).alias("first_broken"))
-
-
 @query("WITH h AS (SELECT user_id, event_id, CAST(event_type = 'signup' OR row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 AS INT) AS header FROM events) SELECT user_id, event_id, CAST(sum(header) OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS seg FROM h")
 def segment_numbering(spark, d):
     first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
@@ -360,7 +350,7 @@ def range_peak(spark, d):
     return range_join(events, peaks, "event_id", "start", "stop", 64).select("event_id", "peak")
 
 
-# ---------------------------------------------------------------- recall and policy
+# ---------------------------------------------------------------- recall and signatures
 
 _TOKENS = "list_filter(list_distinct(string_split_regex(lower({}), '\\s+')), lambda x: x <> '')"
 
@@ -373,27 +363,6 @@ def recall_topk(spark, d):
     return recall(docs, "the and of la de WHERE onst", text="text", order="doc_id", limit=10).select("doc_id", F.col("score").cast("long").alias("score"))
 
 
-_NS = "CASE WHEN contains(u, '#') THEN regexp_extract(u, '^(.*#)', 1) WHEN contains(u, '/') THEN regexp_extract(u, '^(.*/)', 1) ELSE u END"
-
-
-@query(f"WITH u AS (SELECT regexp_extract(url, '^[^?#]*') AS u FROM pages), used AS (SELECT DISTINCT {_NS} AS ns FROM u), declared AS (SELECT DISTINCT {_NS} AS ns FROM (SELECT u FROM u WHERE length(u) % 2 = 0) UNION SELECT 'http://unused.example/') SELECT coalesce(used.ns, declared.ns) AS vocabulary, CASE WHEN declared.ns IS NULL THEN 'undeclared' ELSE 'unused' END AS finding FROM used FULL OUTER JOIN declared ON used.ns = declared.ns WHERE used.ns IS NULL OR declared.ns IS NULL")
-def profile_vocab(spark, d):
-    from .operators.checks import vocabulary_findings
-
-    urls = table(spark, d, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("iri"))
-    declared = urls.filter("length(iri) % 2 = 0").select(T.namespace(F.col("iri")).alias("vocabulary")).unionByName(spark.createDataFrame([("http://unused.example/",)], "vocabulary string"))
-    return vocabulary_findings(urls, declared)
-
-
-@query("SELECT doc_id, 'signature-invalid' AS finding FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'signer-untrusted' FROM labels WHERE toxic = 0 AND doc_id % 4 = 1 UNION ALL SELECT doc_id, 'signature-required' FROM labels WHERE quality = 0")
-def policy_findings(spark, d):
-    from .operators.checks import signature_findings
-
-    signed = table(spark, d, "labels").select(F.col("doc_id").alias("subject"), F.when(F.col("toxic") == 1, "invalid").otherwise("valid").alias("status"), (F.col("doc_id") % 4).cast("string").alias("kid"), (F.col("quality") == 0).alias("required"))
-    trusted = spark.createDataFrame([("0",), ("2",), ("3",)], "kid string")
-    return signature_findings(signed, trusted).select(F.col("subject").alias("doc_id"), "finding")
-
-
 @query("SELECT toxic, count(*) AS signatures, count(*) FILTER (quality = 1) AS valid, count(*) FILTER (quality = 0) AS invalid FROM labels GROUP BY toxic")
 def signature_counts(spark, d):
     return table(spark, d, "labels").groupBy("toxic").agg(F.count("*").alias("signatures"), F.count_if(F.col("quality") == 1).alias("valid"), F.count_if(F.col("quality") == 0).alias("invalid"))
@@ -471,3 +440,6 @@ def window_rank(spark, d):
 def setops_intersect_except(spark, d):
     c, s, n = table(spark, d, "customer"), table(spark, d, "supplier"), table(spark, d, "nation")
     return c.select(F.col("c_nationkey").alias("k")).intersect(s.select("s_nationkey")).subtract(n.filter("n_regionkey = 0").select("n_nationkey"))
+
+
+from . import log_catalog  # noqa: E402, F401  (registers its queries with ``query``)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import xsd
-from ..functions.text import namespace
 
 
 def position_problem(s: Column, p: Column, g: Column | None = None) -> Column:
@@ -15,33 +14,6 @@ def position_problem(s: Column, p: Column, g: Column | None = None) -> Column:
     return out if g is None else out.when(~F.coalesce(g, F.lit(0)).isin(0, 2), "graph is no IRI or blank node")
 
 
-def vocabulary_findings(used: DataFrame, declared: DataFrame) -> DataFrame:
-    """vocabulary, finding: namespaces of used IRIs that aren't declared, and declared ones that aren't used."""
-    spaces = used.select(namespace(F.col("iri")).alias("vocabulary")).distinct().withColumn("_used", F.lit(True))
-    both = spaces.join(declared.distinct().withColumn("_declared", F.lit(True)), "vocabulary", "full_outer")
-    finding = F.when(F.col("_declared").isNull(), "undeclared").when(F.col("_used").isNull(), "unused")
-    return both.select("vocabulary", finding.alias("finding")).filter("finding is not null")
-
-
-def signature_findings(signed: DataFrame, trusted: DataFrame | None) -> DataFrame:
-    """subject, finding from (subject, status, kid, required): invalid, unverified, untrusted or not evaluated, and required ones."""
-    if trusted is None:
-        known = signed.withColumn("_trusted", F.lit(None).cast("boolean"))
-    else:
-        known = signed.join(trusted.select("kid", F.lit(True).alias("_trusted")).distinct(), "kid", "left").withColumn("_trusted", F.coalesce("_trusted", F.lit(False)))
-    valid = F.col("status") == "valid"
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("status") == "invalid", "signature-invalid"),
-            F.when(F.col("status") == "unverified", "signature-unverified"),
-            F.when(valid & (F.col("_trusted") == F.lit(False)), "signer-untrusted"),
-            F.when(valid & F.col("_trusted").isNull(), "signer-trust-not-evaluated"),
-            F.when(F.coalesce("required", F.lit(False)), "signature-required"),
-        )
-    )
-    return known.select("subject", F.explode(found).alias("finding"))
-
-
 def ill_typed(terms: DataFrame) -> DataFrame:
     """path, seg, tid, lex, datatype of literals that aren't in their recognised datatype's lexical space.
 

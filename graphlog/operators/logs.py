@@ -1,23 +1,11 @@
-"""Operators over the order of a log: chains, ranges, layout."""
+"""Operators over the order of a log: ranges and layout."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chain(frames: DataFrame, order: str, *, by: str = "path", genesis: str = "genesis", broken: Column | None = None) -> DataFrame:
-    """``chain_ok``: whether each frame's prev is the id of the item before it in its log.
-
-    Frames have ``by``, ``order``, id and perhaps prev; without prev, one is made that agrees except where ``broken``
-    holds. Every log is an integrity unit of its own, so the window never spans two.
-    """
-    before = F.coalesce(F.lag("id").over(Window.partitionBy(by).orderBy(order)), F.lit(genesis))
-    if "prev" not in frames.columns:
-        frames = frames.withColumn("prev", F.when(broken, "x").otherwise(before) if broken is not None else before)
-    return frames.withColumn("expected", before).withColumn("chain_ok", F.col("prev") == F.col("expected"))
-
-
 def byte_ranges(items: DataFrame, by: str, order: str, size: str = "size") -> DataFrame:
     """``start`` and ``stop`` of each item from the sizes of those before it."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -30,10 +18,13 @@ def missing_after(ranges: DataFrame, heads: DataFrame, by: str) -> DataFrame:
     return ranges.join(heads, by).filter(F.col("start") >= F.col("head_stop")).drop("head_stop")
 
 
-def undescribed_blobs(blobs: DataFrame, covered: DataFrame, described: DataFrame, on: list[str]) -> DataFrame:
-    """Blobs at or before the covered position that aren't described before they come."""
-    inside = blobs.join(covered, on).filter(F.col("item") <= F.col("covered"))
-    return inside.join(described, on, "left").filter(F.col("described").isNull() | (F.col("described") >= F.col("item")))
+def undescribed_blobs(blobs: DataFrame, covered: DataFrame, described: DataFrame, on: list[str], *, of: tuple[str, ...] = (), pos: str = "item") -> DataFrame:
+    """Blobs at or before the covered position that aren't described before they come.
+
+    ``pos`` is a blob's place as the cover counts it; ``of`` names what a description is of, besides its segment.
+    """
+    inside = blobs.join(covered, on).filter(F.col(pos) <= F.col("covered"))
+    return inside.join(described, [*on, *of], "left").filter(F.col("described").isNull() | (F.col("described") >= F.col("item")))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, stop: str, width: int) -> DataFrame:
@@ -44,9 +35,3 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, start: str, sto
     cell = lambda c: F.floor(c / width).cast("long")
     tiles = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(stop) - 1))))
     return points.withColumn("_cell", cell(F.col(point))).join(tiles, "_cell").filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(stop))).drop("_cell")
-
-
-def layout(index: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
-    """The last intact index of each segment wins: covered frames, and the tail appended after the index."""
-    last = index.groupBy(*on).agg(F.max_by(F.struct("pos", "count", "head"), "pos").alias("_i"))
-    return totals.join(last, on, "left").select(*on, "frames", F.coalesce(F.col("_i.count"), F.lit(0)).alias("covered"), F.when(F.col("_i").isNotNull(), F.col("frames") - F.col("_i.pos")).otherwise(0).alias("tail"), F.col("_i.head").alias("claimed_head"))

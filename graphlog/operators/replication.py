@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FoldedGraph
+from .logs import missing_after
 from ..wire.blake3 import blake3
 from ..wire.cbor import dumps
 
@@ -44,6 +45,13 @@ def missing(g: FoldedGraph, peer: DataFrame) -> DataFrame:
     return rows.select("path", "id", "status", F.when(ranged, F.col("start")).alias("start"), F.when(ranged, F.col("stop")).alias("stop"))
 
 
+def missing_items(g: FoldedGraph, heads_: DataFrame) -> DataFrame:
+    """path, seg, item, start, stop of what a peer lacks whose last verified item is ``id`` (path, id)."""
+    items = inventory(g)
+    held = heads_.join(items.filter("verified").select("path", "id", F.col("stop").alias("head_stop")), ["path", "id"]).groupBy("path").agg(F.min("head_stop").alias("head_stop"))
+    return missing_after(items.select("path", "seg", "item", "start", "stop"), held, "path")
+
+
 def resume_after(g: FoldedGraph, frame_id: str) -> DataFrame:
     """path, start: where to go on after a verified frame."""
     return inventory(g).filter("verified").filter(F.col("id") == frame_id.removeprefix("blake3:")).groupBy("path").agg(F.min("stop").alias("start"))

@@ -43,23 +43,28 @@ def resolve(quads: DataFrame, terms: DataFrame, positions: tuple[str, ...] = ("s
     return out
 
 
-def union_by_value(*parts: DataFrame) -> DataFrame:
+def union_by_value(*parts: DataFrame, columns: tuple[str, ...] = ("s", "p", "o")) -> DataFrame:
     """Set union of value quads, the segment forgotten."""
-    first, *rest = [p.select("s", "p", "o") for p in parts]
+    first, *rest = [p.select(*columns) for p in parts]
     for p in rest:
         first = first.unionByName(p)
     return first.distinct()
 
 
-def first_binding(rows: DataFrame, key: str, value: list[str], order: list[str]) -> DataFrame:
+def first_binding(rows: DataFrame, key: list[str], value: list[str], order: list[str]) -> DataFrame:
     """The first value bound to each key, in log order."""
-    return rows.groupBy(key).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("_v")).select(key, *[F.col(f"_v.{c}").alias(c) for c in value])
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("_v")).select(*key, *[F.col(f"_v.{c}").alias(c) for c in value])
 
 
-def conflicts(rows: DataFrame, key: str, value: list[str], order: list[str]) -> DataFrame:
-    """Rows that bind a key to another value than its first."""
-    first = first_binding(rows, key, value, order).select(key, F.struct(*value).alias("_first"))
-    return rows.join(first, key).filter(~F.struct(*value).eqNullSafe(F.col("_first"))).drop("_first")
+def bindings(rows: DataFrame, key: list[str], value: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that bind a key to its first value, and those that bind it to another.
+
+    The first is an aggregate, combined before the shuffle, so a key that is bound very often is no task's burden alone.
+    """
+    first = first_binding(rows, key, value, order).select(*key, F.struct(*value).alias("_first"))
+    met = rows.join(first, key)
+    same = F.struct(*value).eqNullSafe(F.col("_first"))
+    return met.filter(same).drop("_first"), met.filter(~same).drop("_first")
 
 
 def last_value(rows: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -67,9 +72,11 @@ def last_value(rows: DataFrame, keys: list[str], value: str, order: list[str]) -
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def pivot_entities(quads: DataFrame, fields: list[str]) -> DataFrame:
-    """A row per subject with a column for each named predicate; of several values the greatest."""
-    return quads.groupBy("s").agg(*[F.max(F.when(F.col("p") == f, F.col("o"))).alias(f) for f in fields])
+def pivot_entities(quads: DataFrame, fields: list[str], *, by: tuple[str, ...] = ("s",), field: str = "p", value: str = "o", order: tuple[str, ...] = ()) -> DataFrame:
+    """A row per subject with a column for each named predicate; of several values the last in ``order``, without one the greatest."""
+    mine = lambda f, c: F.when(F.col(field) == f, c)
+    last = (lambda f: F.max_by(mine(f, F.col(value)), mine(f, F.struct(*order)))) if order else (lambda f: F.max(mine(f, F.col(value))))
+    return quads.groupBy(*by).agg(*[last(f).alias(f) for f in fields])
 
 
 def ntriple(s: Column, p: Column, kind: Column, lex: Column, datatype: Column, lang: Column, direction: Column) -> Column:
@@ -87,11 +94,11 @@ def suppress_quads(quads: DataFrame, targets: DataFrame, columns: tuple[str, ...
     return quads.join(t, condition, "left_anti")
 
 
-def suppress_terms(quads: DataFrame, terms: DataFrame, columns: tuple[str, ...] = ("s", "p", "o", "g"), name: str = "term") -> DataFrame:
-    """Quads without any of the terms: one anti join for each position."""
+def suppress_terms(quads: DataFrame, terms: DataFrame, columns: tuple[str, ...] = ("s", "p", "o", "g"), name: str = "term", on: tuple[str, ...] = ()) -> DataFrame:
+    """Quads without any of the terms: one anti join for each position. ``on`` names what a term belongs to (a path)."""
     out = quads
     for c in [c for c in columns if c in quads.columns]:
-        out = out.join(terms.select(F.col(name).alias(c)).distinct(), c, "left_anti")
+        out = out.join(terms.select(*on, F.col(name).alias(c)).distinct(), [*on, c], "left_anti")
     return out
 
 
@@ -102,23 +109,25 @@ def diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).filter("change is not null")
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
-    """start, node, depth: what can be reached from each start in at most ``most`` steps, at its least depth.
+def reach(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """start, node, depth: what can be reached from each start, at its least depth.
 
-    A loop of joins over stored frontiers; it ends when a step finds nothing new.
+    A loop of joins over stored frontiers; it ends when a step finds nothing new. With ``most``, a node farther off than
+    so many steps is an error.
     """
     from ..plans.stored import stored
 
     found = stored(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
     front, depth = found, 0
-    while depth < most:
+    while True:
         depth += 1
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
         front = stored(step.join(found, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return found
+        if most is not None and depth > most:
+            raise ValueError(f"some nodes are over {most} steps away")
         found = stored(found.unionByName(front))
-    return found
 
 
 def run_numbers(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str) -> DataFrame:

@@ -88,6 +88,11 @@ def read_items(spark: SparkSession, path: str, *, most_bytes: int | None = None)
     files = spark.read.format("binaryFile").load(path)
     if most_bytes is not None:
         files = files.filter(f"length <= {most_bytes} or raise_error(concat('file too large: ', path)) is not null")
+    return items_of_files(files)
+
+
+def items_of_files(files: DataFrame) -> DataFrame:
+    """Items of logs that are rows (path, content)."""
 
     def run(batches):
         for batch in batches:

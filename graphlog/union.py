@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .fold import KEY
 from .functions.text import RDF, remap, term_token
+from .operators import values as V
 from .plans.stored import stored
 from .schema import FoldedGraph
 
@@ -74,10 +75,16 @@ def resolved(rows: DataFrame, names: DataFrame, positions: list[str]) -> DataFra
 def value_quads(g: FoldedGraph, names: DataFrame | None = None) -> DataFrame:
     """path, s, p, o, g by value: the set of a file's quads over all its segments."""
     names = names if names is not None else tokens(g)
-    return resolved(g.quads, names, ["s", "p", "o", "g"]).select("path", "s", "p", "o", "g").distinct()
+    return V.union_by_value(resolved(g.quads, names, ["s", "p", "o", "g"]), columns=("path", "s", "p", "o", "g"))
+
+
+def value_meta(g: FoldedGraph) -> DataFrame:
+    """path, key, value: a file's metadata; of a key that is said again, the last value in log order."""
+    return V.last_value(g.meta, ["path", "key"], "value", ["seg", "item"])
 
 
 def value_reifiers(g: FoldedGraph, names: DataFrame) -> DataFrame:
+    """path, reifier, s, p, o, g by value: the first binding of each reifier in its segment."""
     return resolved(g.reifiers, names, ["reifier", "s", "p", "o", "g"]).select("path", "reifier", "s", "p", "o", "g").distinct()
 
 
@@ -132,13 +139,8 @@ def visible_quads(g: FoldedGraph, names: DataFrame | None = None) -> DataFrame:
     """The overlay: quads that no quad or term target hides. Suppression never changes the quads themselves."""
     names = stored(names if names is not None else tokens(g))
     quads, targets = value_quads(g, names), suppression_targets(g, names)
-    hidden = targets.filter("kind = 'quad'").select(*[F.col(c).alias(f"t_{c}") for c in ("path", "s", "p", "o", "g")]).distinct()
-    same = (F.col("path") == F.col("t_path")) & (F.col("s") == F.col("t_s")) & (F.col("p") == F.col("t_p")) & (F.col("o") == F.col("t_o")) & F.col("g").eqNullSafe(F.col("t_g"))
-    out = quads.join(hidden, same, "left_anti")
-    gone = targets.filter("kind = 'term' and term is not null").select("path", "term").distinct()
-    for c in ("s", "p", "o", "g"):
-        out = out.join(gone.withColumnRenamed("term", c), ["path", c], "left_anti")
-    return out
+    out = V.suppress_quads(quads, targets.filter("kind = 'quad'"), ("path", "s", "p", "o", "g"))
+    return V.suppress_terms(out, targets.filter("kind = 'term' and term is not null"), on=("path",))
 
 
 def all_suppressed(g: FoldedGraph, names: DataFrame | None = None) -> DataFrame:

@@ -228,18 +228,29 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", for
     """
     source = pick(docs, doc_id=id_col, text=text_col)
     judged = with_candidates(source, forest or default_forest(docs.sparkSession))
-    # running starts, in runs of so many candidates: sums within each run, and of the runs before it
-    sizes = F.transform("found", lambda x, k: (F.length(F.get("parts", k)) + F.length(x["candidate"])).cast("long"))
-    grown = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
-    runs = F.sequence(F.lit(0), F.floor((F.size("sizes") - 1) / RUN).cast("int"))
-    within = F.transform(runs, lambda k: grown(F.slice("sizes", k * RUN + 1, F.lit(RUN)), lambda x: x))
-    judged = judged.filter(F.size("parts") > 1).withColumn("sizes", sizes).withColumn("within", within)
-    judged = judged.withColumn("before_run", grown(F.col("within"), lambda x: F.element_at(x, -1)))
+    placed = _let(F.struct("parts", "found"), lambda z: _let(_sums(z["parts"], z["found"]), lambda sums: F.transform(z["found"], lambda x, k: F.struct(_start(sums, z["parts"], k).alias("start"), x["candidate"].alias("candidate"), x["before"].alias("before"), x["probability"].alias("probability")))))
     # the outer form: for the other the planner adds a filter on all of ``found``, which runs the pattern many times over
-    spans = judged.select("doc_id", "parts", "within", "before_run", F.posexplode_outer("found").alias("ordinal", "x"))
-    run = F.floor(F.col("ordinal") / RUN).cast("int")
-    start = F.get("before_run", run) + F.get(F.get("within", run), F.col("ordinal") % RUN) + F.length(F.get("parts", F.col("ordinal")))
-    return spans.select("doc_id", "ordinal", start.cast("long").alias("start"), F.length("x.candidate").cast("long").alias("length"), "x.before", "x.candidate", "x.probability", (F.col("x.probability") > threshold).alias("secret"))
+    spans = judged.filter(F.size("parts") > 1).select("doc_id", F.posexplode_outer(placed).alias("ordinal", "x"))
+    return spans.select("doc_id", "ordinal", "x.start", F.length("x.candidate").cast("long").alias("length"), "x.before", "x.candidate", "x.probability", (F.col("x.probability") > threshold).alias("secret"))
+
+
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _sums(parts: Column, found: Column) -> Column:
+    """The lengths of parts and candidates summed up: within runs of RUN candidates, and over the runs before each."""
+    size = lambda k: (F.length(F.get(parts, k)) + F.length(F.get(found, k)["candidate"])).cast("long")
+    grown = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
+    runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+    within = F.transform(runs, lambda r: grown(F.sequence(r * RUN, F.least(r * RUN + RUN, F.size(found)) - 1), size))
+    return _let(within, lambda w: F.struct(w.alias("within"), grown(w, lambda x: F.element_at(x, -1)).alias("before")))
+
+
+def _start(sums: Column, parts: Column, k: Column) -> Column:
+    run = F.floor(k / RUN).cast("int")
+    return F.get(sums["before"], run) + F.get(F.get(sums["within"], run), k % RUN) + F.length(F.get(parts, k))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", forest: str | None = None, threshold: float = THRESHOLD, replacement: str = REPLACEMENT) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 TEXT_FORMS = ("nquads", "ntriples", "turtle", "trig", "rdfxml", "jsonld", "yamlld")
 
@@ -36,6 +37,13 @@ def parser() -> argparse.ArgumentParser:
     verb("diff", log, (["folder"], {}), about="an archive against a folder")
     verb("heads", log, about="segment heads as JSON")
     verb("missing", log, (["head"], {}), about="byte ranges after a head")
+    verb("segments", log, about="the byte ranges of a log's segments as JSON")
+    verb("resume", log, (["frame"], {}), about="where to go on after a verified frame")
+    verb("extract-key", log, about="the public keys a log carries")
+    verb("from-okf", (["folder"], {}), out, about="a log of a Markdown bundle")
+    verb("to-okf", log, out, about="a Markdown bundle")
+    verb("from-tar", (["tarball"], {}), out, (["--links"], {"action": "store_true"}), about="an archive of a tarball's files")
+    verb("tar", (["action"], {"choices": ("create", "extract", "list", "diff")}), (["archive"], {}), (["paths"], {"nargs": "*"}), (["--links"], {"action": "store_true"}), about="an archive, used as tar is")
     verb("prove", log, (["leaf"], {"type": int}), about="a proof that a frame is in the log")
     verb("check-proof", (["proof"], {}), about="checks a proof")
     return p
@@ -43,13 +51,13 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     from . import author, union
-    from .apps import files
-    from .fold import fold, fold_bytes
+    from .apps import files, okf
+    from .fold import blob_bytes, fold, fold_bytes
     from .operators import mmr, policy, replication, summary
     from .sinks import relational
     from .sinks import text as sinks
     from .sources import rdf
-    from .verify import verify
+    from .verify import embedded_keys, grouped, verify
 
     show = lambda df: [print(*(x.hex() if isinstance(x, (bytes, bytearray)) else x for x in r), sep="\t") for r in df.toLocalIterator()]
     if a.verb == "from":
@@ -59,6 +67,17 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.verb == "pack":
         Path(a.output).write_bytes(files.pack(files.entries_of(a.paths)))
         return 0
+    if a.verb == "from-tar":
+        Path(a.output).write_bytes(files.pack(files.from_tar(Path(a.tarball).read_bytes(), links=a.links)))
+        return 0
+    if a.verb == "from-okf":
+        documents = okf.read_bundle(spark, a.folder)
+        bodies = {r.digest: bytes(r.body) for r in documents.select("digest", "body").filter("body is not null").toLocalIterator()}
+        content = author.from_statements(okf.statements(documents))
+        Path(a.output).write_bytes(content + (author.write(author.Package(blobs=bodies), "dist") if bodies else b""))
+        return 0
+    if a.verb == "tar":
+        return _tar(spark, a, files)
     if a.verb == "check-proof":
         why = mmr.check(Path(a.proof).read_text())
         print(why or "ok")
@@ -98,6 +117,22 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         case "missing":
             peer = g.segments.select("path").distinct().selectExpr("path", f"'{a.head.removeprefix('blake3:')}' id")
             show(replication.as_json(replication.missing(g, peer)))
+        case "segments":
+            spans = g.frames.groupBy("path", "seg").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+            show(replication.as_json(replication.heads(g).join(spans, ["path", "seg"]).orderBy("path", "seg")))
+        case "resume":
+            found = replication.resume_after(g, a.frame).collect()
+            for r in found:
+                print(r.path, r.start, sep="\t")
+            return int(not found)
+        case "extract-key":
+            found = embedded_keys(g)
+            for k in found:
+                print(k.kid, k.raw.hex(), grouped(k.fingerprint) if k.fingerprint else "", sep="\t")
+            return int(not found)
+        case "to-okf":
+            bodies = {r.digest: bytes(r.bytes) for r in blob_bytes(g.blobs).filter("intact").select("digest", "bytes").toLocalIterator()}
+            print(okf.export(union.statements(g), bodies, a.output))
         case "prove":
             import json
 
@@ -108,6 +143,27 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _tar(spark: SparkSession, a: argparse.Namespace, files) -> int:
+    from .fold import fold
+
+    if a.action == "create":
+        Path(a.archive).write_bytes(files.pack(files.entries_of(a.paths)))
+        return 0
+    g, folder = fold(spark, a.archive), (a.paths or ["."])[0]
+    match a.action:
+        case "list":
+            for r in files.listing(g).orderBy("path").select("type", "mode", "size", "path").toLocalIterator():
+                print(r.type, oct(r.mode or 0), r["size"], r.path, sep="\t")
+        case "extract":
+            print(*files.unpack(g, folder, links=a.links), sep="\n")
+        case "diff":
+            changes = files.diff_folder(g, folder).collect()
+            for r in changes:
+                print(r.change, r.path)
+            return int(bool(changes))
+    return 0
+
+
 def _export(g, a, relational, sinks, files, union) -> None:
     match a.form:
         case "parquet":

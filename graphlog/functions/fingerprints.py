@@ -8,13 +8,25 @@ import time
 
 from ..wire.blake3 import blake3
 
-#: The 64 digits of the picture hash, in their order.
+#: The 64 digits of the picture hash and their names, in their order.
 PICTURES = (
-    "🐵 monkey 🐶 dog 🐺 wolf 🦊 fox 🐱 cat 🦁 lion 🐯 tiger 🐴 horse 🦄 unicorn 🦓 zebra 🦌 deer 🐮 cow 🐷 pig 🐗 boar 🐭 mouse 🐹 hamster "
-    "🐰 rabbit 🐻 bear 🐼 panda 🐨 koala 🐸 frog 🐲 dragon 🐔 chicken 🐧 penguin 🦆 duck 🦅 eagle 🦉 owl 🦇 bat 🐢 turtle 🐍 snake 🦎 lizard 🐊 crocodile "
-    "🐳 whale 🐬 dolphin 🐟 fish 🐠 tropical-fish 🐡 blowfish 🦈 shark 🐙 octopus 🦑 squid 🦀 crab 🦞 lobster 🦐 shrimp 🦋 butterfly 🐌 snail 🐞 lady-beetle 🐝 bee "
-    "🐜 ant 🦂 scorpion 🍎 apple 🍐 pear 🍊 orange 🍋 lemon 🍌 banana 🍉 watermelon 🍇 grapes 🍓 strawberry 🍒 cherries 🍍 pineapple 🥝 kiwi 🍑 peach 🥥 coconut 🥕 carrot 🌽 corn"
-).split()
+    ("🐵", "monkey"), ("🐶", "dog"), ("🐺", "wolf"), ("🦊", "fox"),
+    ("🐱", "cat"), ("🦁", "lion"), ("🐯", "tiger"), ("🐴", "horse"),
+    ("🦄", "unicorn"), ("🦓", "zebra"), ("🦌", "deer"), ("🐮", "cow"),
+    ("🐷", "pig"), ("🐗", "boar"), ("🐭", "mouse"), ("🐹", "hamster"),
+    ("🐰", "rabbit"), ("🐻", "bear"), ("🐼", "panda"), ("🐨", "koala"),
+    ("🐸", "frog"), ("🐲", "dragon"), ("🐔", "chicken"), ("🐧", "penguin"),
+    ("🦆", "duck"), ("🦅", "eagle"), ("🦉", "owl"), ("🦇", "bat"),
+    ("🐢", "turtle"), ("🐍", "snake"), ("🦎", "lizard"), ("🐊", "crocodile"),
+    ("🐳", "whale"), ("🐬", "dolphin"), ("🐟", "fish"), ("🐠", "tropical-fish"),
+    ("🐡", "blowfish"), ("🦈", "shark"), ("🐙", "octopus"), ("🦑", "squid"),
+    ("🦀", "crab"), ("🦞", "lobster"), ("🦐", "shrimp"), ("🦋", "butterfly"),
+    ("🐌", "snail"), ("🐞", "lady-beetle"), ("🐝", "bee"), ("🐜", "ant"),
+    ("🦂", "scorpion"), ("🍎", "apple"), ("🍐", "pear"), ("🍊", "orange"),
+    ("🍋", "lemon"), ("🍌", "banana"), ("🍉", "watermelon"), ("🍇", "grapes"),
+    ("🍓", "strawberry"), ("🍒", "cherries"), ("🍍", "pineapple"), ("🥝", "kiwi"),
+    ("🍑", "peach"), ("🥥", "coconut"), ("🥕", "carrot"), ("🌽", "corn"),
+)
 #: Fixed value: marks for how often a square was visited; the last is the end's.
 RAMP = " .o+=*BOX@%&#/^"
 CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -28,11 +40,11 @@ def picture_digits(data: bytes, length: int = 11) -> list[int]:
 
 
 def pictures(data: bytes, length: int = 11) -> str:
-    return " ".join(PICTURES[2 * d] for d in picture_digits(data, length))
+    return " ".join(PICTURES[d][0] for d in picture_digits(data, length))
 
 
 def picture_names(data: bytes, length: int = 11) -> str:
-    return " ".join(PICTURES[2 * d + 1] for d in picture_digits(data, length))
+    return " ".join(PICTURES[d][1] for d in picture_digits(data, length))
 
 
 def randomart(data: bytes, label: str = "", width: int = 17, height: int = 9) -> str:

@@ -73,6 +73,28 @@ def peaks(all_nodes: DataFrame, count: int) -> list[tuple[int, bytes]]:
     return [(h, found[h, i]) for h, i in wanted]
 
 
+def root_of(ids: list[bytes]) -> bytes:
+    """The root over some ids at hand, peak by peak as they come."""
+    tops: list[tuple[int, bytes]] = []
+    for k, frame_id in enumerate(ids):
+        tops.append((0, leaf_hash(k, frame_id)))
+        while len(tops) > 1 and tops[-1][0] == tops[-2][0]:
+            (h, left), (_, right) = tops[-2:]
+            tops[-2:] = [(h + 1, parent_hash(h + 1, left, right))]
+    return root_hash(len(ids), tops)
+
+
+def index_problem(ids: list[bytes], pos: int, count: int, head: bytes, claimed: bytes) -> str | None:
+    """Why the root that an index at ``pos`` claims over the first ``count`` frames is wrong, or None."""
+    if len(claimed) != 32:
+        return "the root is no digest"
+    if count > min(pos - 1, len(ids)):
+        return "the root is over frames that don't come before its index"
+    if count and ids[count - 1] != head:
+        return "the root's last frame is another than the head"
+    return None if root_of(ids[:count]) == claimed else "the root is another"
+
+
 def root(leaves: DataFrame) -> bytes:
     count = leaves.count()
     return root_hash(count, peaks(nodes(leaves), count))

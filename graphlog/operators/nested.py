@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fold import blob_bytes, fold_items
-from ..plans.stored import stored
+from ..plans.stored import running, stored
 from ..schema import ITEMS, FoldedGraph
 from ..sources.log import _batch, items_of
 
-#: The media type of a log, as a parameter of your packages.
+#: The media type of a log unless a call says otherwise.
 MEDIA_TYPE = "application/vnd.graphlog+cbor-seq"
 MOST_DEPTH, MOST_BYTES = 3, 16 << 20
 
@@ -25,18 +25,21 @@ class Nested:
     limits: DataFrame
 
 
-def read_nested(g: FoldedGraph, *, depth: int = MOST_DEPTH, most_bytes: int = MOST_BYTES) -> Nested:
-    """Expands level by level: the blobs of a level that are logs, each digest once, smallest first within the budget.
+def read_nested(g: FoldedGraph, *, depth: int = MOST_DEPTH, most_bytes: int = MOST_BYTES, media_type: str = MEDIA_TYPE) -> Nested:
+    """Expands level by level: the blobs of a level that are logs (by ``media_type``), each digest once, in log order.
 
-    The budget holds for all files together. Left-out digests are rows (digest, reason).
+    The budget holds for all files together; a blob that it no longer has room for is left out, and so is what comes
+    after. Left-out digests are rows (digest, reason).
     """
     levels, left, limits = [g], most_bytes, []
     done = None
     for level in range(depth + 1):
-        blobs = levels[-1].blobs.filter(F.get_json_object("meta", "$.mt") == MEDIA_TYPE).filter("raw is not null").dropDuplicates(["digest"])
+        blobs = levels[-1].blobs.filter(F.get_json_object("meta", "$.mt") == media_type).filter("raw is not null")
+        first = F.min_by(F.struct("path", "seg", "item", "raw", "chain", "meta"), F.struct("path", "seg", "item")).alias("b")
+        blobs = blobs.groupBy("digest").agg(first).select("digest", "b.*")
         if done is not None:
             blobs = blobs.join(done, "digest", "left_anti")
-        decoded = stored(blob_bytes(blobs.select("path", "seg", "item", "digest", "raw", "chain", "meta")).select("digest", "bytes"))
+        decoded = stored(blob_bytes(blobs.select("path", "seg", "item", "digest", "raw", "chain", "meta")).select("path", "seg", "item", "digest", "bytes"))
         if decoded.isEmpty():
             break
         limits.append(decoded.filter("bytes is null").select("digest", F.lit("DamagedFrame").alias("reason")))
@@ -44,8 +47,8 @@ def read_nested(g: FoldedGraph, *, depth: int = MOST_DEPTH, most_bytes: int = MO
         if level == depth:
             limits.append(sound.select("digest", F.lit("RecursionLimit").alias("reason")))
             break
-        total = F.sum("size").over(Window.orderBy("size", "digest").rowsBetween(Window.unboundedPreceding, 0))
-        charged = stored(sound.select("digest", "size").withColumn("total", total))
+        before = running(sound.select("path", "seg", "item", "digest", "size"), ["path", "seg", "item", "digest"], F.col("size"), "before")
+        charged = stored(before.select("digest", "size", (F.col("before") + F.col("size")).alias("total")))
         limits.append(charged.filter(F.col("total") > left).select("digest", F.lit("RecursionLimit").alias("reason")))
         taken = charged.filter(F.col("total") <= left).select("digest")
         left -= charged.filter(F.col("total") <= left).agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]

@@ -89,6 +89,10 @@ def findings(g: FoldedGraph, policy: Policy | None = None, vocabularies: dict[st
         add(signed.filter("valid > 0"), "ProfileSignerTrustNotEvaluated", "warning")
     committed = g.signatures.filter("status in ('valid', 'unverified')").select(*KEY, F.col("frame_id").alias("head"))
     add(segs.filter("profile = 'evidence'").join(sealed, list(KEY), "left_anti").join(committed, [*KEY, "head"], "left_anti"), "EvidenceHeadCommitmentRequired", "error")
+    # recipients of frames that stayed sealed, in opaque packages
+    closed = g.opaque.select(*KEY, "item").distinct()
+    sealed_to = g.recipients.join(closed, [*KEY, "item"], "left_semi").join(segs.filter("profile = 'opaque'").select(*KEY), list(KEY), "left_semi")
+    out.append(recipient_findings(sealed_to, policy).select(*KEY, F.lit("opaque").alias("profile"), "code", F.lit("error").alias("severity")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -36,6 +36,7 @@ class FoldedGraph:
     suppressions: DataFrame
     opaque: DataFrame
     signatures: DataFrame
+    recipients: DataFrame
     diagnostics: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:

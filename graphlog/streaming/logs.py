@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..fold import _decode
+from ..fold import DESCRIBES, _decode
 from ..schema import ITEMS
 from ..sources.log import items_of
-from ..wire.cbor import CborError, Reader
+from ..wire.cbor import CborError, Reader, dumps, loads
 
 EVENTS = "path string, seg int, item long, kind string, ids array<long>, texts array<string>, raw binary"
-STATE = "seg int, expected binary, catalog binary, kinds binary, head binary"
+STATE = "seg int, expected binary, catalog binary, kinds binary, rest binary"
 #: Bytes of a file that one batch takes at most, unless its next item alone is larger.
 BATCH_BYTES = 64 << 20
 
@@ -103,7 +103,12 @@ def _fits(kind: str, ids: list, kinds: bytes) -> bool:
     return kinds[ids[p]] == 0 and graph_ok and (s is None or kinds[ids[s]] != 1)
 
 
-_NAMES = {"terms": "term", "quads": "quad", "reifiers": "reifier", "annotations": "annotation", "blobs": "blob", "suppressions": "suppression", "opaque": "opaque", "signatures": "signature", "diagnostics": "diagnostic", "meta": "meta", "indexes": "index"}
+_NAMES = {"terms": "term", "quads": "quad", "reifiers": "reifier", "annotations": "annotation", "blobs": "blob", "suppressions": "suppression", "opaque": "opaque", "signatures": "signature", "diagnostics": "diagnostic", "meta": "meta", "indexes": "index", "recipients": "recipient"}
+
+
+def _fresh(layout: str | None = None) -> dict:
+    """What a segment has to remember besides its chain and the kinds of its terms; ids are of its own terms."""
+    return {"pos": 0, "claimed": layout == "streamable", "indexed": False, "bound": {}, "describes": [], "digests": {}, "described": [], "blobs": []}
 
 
 def _update(keys: dict, signers: dict | None):
@@ -116,50 +121,82 @@ def _update(keys: dict, signers: dict | None):
         return [r for b in decode_batches(iter([batch])) for r in b.to_pylist()]
 
     def run(key, parts, state) -> Iterator[pd.DataFrame]:
-        seg, expected, catalog, kinds, head = state.get if state.exists else (-1, b"", b"", b"", b"")
-        kinds = bytearray(kinds)
+        seg, expected, catalog, kinds, rest = state.get if state.exists else (-1, b"", b"", b"", dumps(_fresh()))
+        kinds, rest = bytearray(kinds), loads(rest)
         items = pd.concat(list(parts)).sort_values("start").to_dict("records")
         out: list[tuple] = []
+
+        def note(at: tuple, code: str, detail: str) -> None:
+            out.append((*at, "diagnostic", [], [code, detail], None))
+
         for r in items:
             r = {k: None if isinstance(v, float) and v != v else bytes(v) if isinstance(v, bytearray) else v for k, v in r.items()}
             at = (key[0], seg, int(r["item"]))
             if r["header"]:
                 if seg >= 0:
+                    if rest["claimed"] and not rest["indexed"]:
+                        note(at, "StreamableLayoutError", "claimed layout without an intact index")
                     out.append((*at, "segment-head", [], [], bytes(expected)))
-                seg, catalog, kinds = seg + 1, r["catalog"], bytearray()
+                seg, catalog, kinds, rest = seg + 1, r["catalog"], bytearray(), _fresh(r["layout"])
                 at = (key[0], seg, int(r["item"]))
                 expected = r["stored"] or b""
                 out.append((*at, "segment-start", [], [r["profile"]], expected))
+                if r["shape"] == "unsupported":
+                    note(at, "DamagedFrame", "a header of another version")
                 if r["stored"] != r["computed"]:
-                    out.append((*at, "diagnostic", [], ["DamagedFrame", "header self-hash mismatch"], None))
+                    note(at, "DamagedFrame", "a header's id is not its hash")
                 continue
+            rest["pos"] += 1
             if seg < 0 or r["shape"] != "frame":
-                out.append((*at, "diagnostic", [], ["DamagedFrame", "no frame here"], None))
+                note(at, "DamagedFrame", "no frame here")
                 continue
             sound = r["stored"] is not None and r["stored"] == r["computed"]
             if sound and r["prev"] != expected:
-                out.append((*at, "diagnostic", [], ["BrokenChain", "prev does not match"], None))
-            expected = r["stored"] or r["computed"]
+                note(at, "BrokenChain", "prev names another frame")
+            before, expected = expected, r["stored"] or r["computed"]
             if not sound:
                 out.append((*at, "opaque", [], [r["t"], "damaged", "none"], r["stored"] or b""))
-                out.append((*at, "diagnostic", [], ["DamagedFrame", "frame self-hash mismatch"], None))
+                note(at, "DamagedFrame", "a frame's id is not its hash")
                 continue
             base = len(kinds)
             shift = 0
-            for x in decoded({"path": key[0], "seg": seg, "item": at[2], "catalog": catalog} | {k: r[k] for k in ("t", "x", "d", "pub", "stored", "computed", "sig", "sig_shape")}):
+            for x in decoded({"path": key[0], "seg": seg, "item": at[2], "catalog": catalog} | {k: r[k] for k in ("t", "x", "d", "pub", "recipients", "stored", "computed", "sig", "sig_shape")}):
                 if x["tbl"] == "base":
                     shift = base
                     continue
-                kind, ids = _NAMES[x["tbl"]], list(x["ids"])
+                kind, ids, texts = _NAMES[x["tbl"]], list(x["ids"]), list(x["texts"])
                 if kind == "term":
+                    tid, dt, rf = len(kinds), *[None if i is None else i + shift for i in ids[1:3]]
                     kinds.append(ids[0])
+                    if (dt is not None and dt >= tid) or (rf is not None and rf > tid):
+                        note(at, "ForwardReference", f"term {tid} refers to a term that is not before it")
+                    if texts[0] == DESCRIBES:
+                        rest["describes"].append(tid)
+                    elif (texts[0] or "").startswith("blake3:"):
+                        rest["digests"][tid] = texts[0]
                 elif kind in ("quad", "reifier", "annotation"):
                     ids = [None if i is None else i + shift for i in ids]
                     if not _fits(kind, ids, kinds):
-                        out.append((*at, "diagnostic", [], ["PositionConstraint", f"{kind} row"], None))
+                        missing = kind != "quad" and any(i is not None and i >= len(kinds) for i in ids)
+                        note(at, "DamagedFrame" if missing else "PositionConstraint", f"{kind} row")
+                        continue
+                    if kind == "reifier" and rest["bound"].setdefault(ids[0], ids[1:4]) != ids[1:4]:
+                        note(at, "ConflictingReifier", f"reifier {ids[0]} is bound to another statement before")
                         continue
-                out.append((*at, kind, ids, list(x["texts"]), x["raw"]))
-        state.update((seg, bytes(expected), bytes(catalog or b""), bytes(kinds), bytes(head)))
+                    if kind == "quad" and ids[1] in rest["describes"] and ids[2] in rest["digests"]:
+                        rest["described"].append(rest["digests"][ids[2]])
+                elif kind == "blob" and texts[0] not in rest["described"]:
+                    rest["blobs"].append(texts[0])  # not described before it comes
+                elif kind == "index" and rest["claimed"]:
+                    rest["indexed"], count = True, ids[0]
+                    if count != rest["pos"] - 1 or count < 1 or bytes(x["raw"]) != before:
+                        note(at, "StreamableLayoutError", "index contradicts the frames it covers")
+                    for digest in rest["blobs"]:
+                        note(at, "StreamableLayoutError", f"blob before its description: {digest}")
+                    rest["blobs"] = []
+                    out.append((*at, "streamable-layout", [count], [], x["raw"]))
+                out.append((*at, kind, ids, texts, x["raw"]))
+        state.update((seg, bytes(expected), bytes(catalog or b""), bytes(kinds), dumps(rest)))
         yield pd.DataFrame(out, columns=["path", "seg", "item", "kind", "ids", "texts", "raw"])
 
     return run
@@ -167,8 +204,10 @@ def _update(keys: dict, signers: dict | None):
 
 def events(items: DataFrame, *, keys: dict[str, bytes] | None = None, signers: dict[str, bytes] | None = None) -> DataFrame:
     """The events of a stream of items: segment-start, term, quad, reifier, annotation, suppression, blob, opaque,
-    signature, meta, index, diagnostic, segment-head. Ids belong to their segment. Nothing is said about a torn tail or
-    a missing footer, since the rest may still come."""
+    signature, recipient, meta, index, streamable-layout, diagnostic, segment-head. Ids belong to their segment. A claimed
+    layout is judged where its index comes, and where a segment ends without one; nothing is said about a torn tail or a
+    missing footer of the last segment, since the rest may still come. A key's state is that of its open segment: the
+    kinds of its terms, its bindings and its described digests."""
     return items.groupBy("path").applyInPandasWithState(_update(keys or {}, signers), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 

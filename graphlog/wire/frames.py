@@ -111,7 +111,7 @@ class LogWriter:
     def terms(self, terms: list[Term], *, projection: bool = False, **how) -> bytes:
         """A projection section takes public language tags only."""
         for t in terms:
-            if projection and t.lang and (t.lang.lower().startswith("x-") or "-x-" in t.lang.lower()):
+            if projection and "x" in (t.lang or "").lower().split("-")[:-1]:
                 raise ValueError(f"private language tag {t.lang!r} in a projection section")
         return self.frame("terms", [t.wire() for t in terms], **how)
 
@@ -135,13 +135,13 @@ class LogWriter:
     def suppress(self, targets: list[dict], *, reason: str | None = None, by: int | None = None) -> bytes:
         return self.frame("suppress", {"targets": targets} | {k: v for k, v in (("reason", reason), ("by", by)) if v is not None})
 
-    def index(self) -> bytes:
-        """A footer that covers all frames so far: their number, the last id, offsets, and positions by type."""
+    def index(self, *, mmr: bytes | None = None) -> bytes:
+        """A footer that covers all frames so far: their number, the last id, offsets, and positions by type; ``mmr``, a root over their ids."""
         payload: dict[str, Any] = {"count": len(self.types), "head": self.head}
         if self.types:
             kinds = dict.fromkeys(self.types)
             payload |= {"off": list(self.offsets), "ti": {k: [i for i, t in enumerate(self.types) if t == k] for k in kinds}}
-        return self.frame("index", payload)
+        return self.frame("index", payload | ({"mmr": mmr} if mmr is not None else {}))
 
     def to_bytes(self) -> bytes:
         return b"".join(self.parts)

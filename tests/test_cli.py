@@ -73,6 +73,32 @@ def test_archives_and_rewriting(cli, tmp_path):
     cli("compact", tmp_path / "12", "-o", tmp_path / "no", code=1)
 
 
+def test_more_verbs(cli, tmp_path):
+    log = tmp_path / "x.log"
+    log.write_bytes(one() + two())
+    spans = [json.loads(x) for x in cli("segments", log).splitlines()]
+    assert [(x["seg"], x["start"], x["stop"]) for x in spans] == [(0, 0, len(one())), (1, len(one()), len(one() + two()))]
+    assert cli("resume", log, spans[0]["head"]).split("\t")[1] == f"{len(one())}\n"
+    cli("resume", log, "00" * 32, code=1)
+    cli("extract-key", log, code=1)
+    log.write_bytes(data(("meta", {"transport-key": "11" * 32})))
+    assert "11" * 32 in cli("extract-key", log)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("one")
+    cli("tar", "create", tmp_path / "p", tmp_path / "in")
+    assert cli("tar", "list", tmp_path / "p").split("\t")[-1] == "a.txt\n"
+    assert cli("tar", "extract", tmp_path / "p", tmp_path / "out") == "a.txt\n"
+    assert cli("tar", "diff", tmp_path / "p", tmp_path / "out") == ""
+    cli("to", "tar", tmp_path / "p", "-o", tmp_path / "a.tgz")
+    cli("from-tar", tmp_path / "a.tgz", "-o", tmp_path / "q")
+    assert cli("ls", tmp_path / "q") == cli("ls", tmp_path / "p")
+    (tmp_path / "okf").mkdir()
+    (tmp_path / "okf/n.md").write_text("---\ntype: note\ntitle: A\n---\nbody\n")
+    cli("from-okf", tmp_path / "okf", "-o", tmp_path / "b")
+    assert "'documents': 1" in cli("to-okf", tmp_path / "b", "-o", tmp_path / "back")
+    assert (tmp_path / "back/n.md").read_text().endswith("body\n")
+
+
 def test_summaries(spark):
     files = {"x": one() + two() + data(), "b": CASES["22-inline-blob"](), "o": CASES["03-unknown-codec"]()}
     g = fold_bytes(spark, files)

@@ -20,6 +20,9 @@ def counts(spark, out):
     return Counter({r.kind: r["count"] for r in spark.read.parquet(str(out)).groupBy("kind").count().collect()})
 
 
+BOTH = ("13-position-constraint", "03-unknown-codec", "04-damaged-frame", "22-inline-blob", "12-conflicting-reifier", "26-streamable-lie", "28e-forward-term-reference", "09-suppression")
+
+
 def test_stream_is_the_batch(spark, tmp_path):
     spark.dataSource.register(logs.LogStream)
     folder, state, out = tmp_path / "in", tmp_path / "state", tmp_path / "out"
@@ -27,11 +30,9 @@ def test_stream_is_the_batch(spark, tmp_path):
     whole = one() + two()
     cut = len(whole) - 40
     (folder / "a").write_bytes(whole[:cut])
-    for case in ("13-position-constraint", "03-unknown-codec", "04-damaged-frame", "22-inline-blob", "12-conflicting-reifier"):
+    for case in BOTH:
         (folder / case).write_bytes(CASES[case]())
     run(spark, folder, state, out)
-    first = counts(spark, out)
-    assert first["diagnostic"] == 3
     assert logs.offsets(str(state))[str(folder / "a")] < cut  # the torn frame isn't there yet
     with open(folder / "a", "ab") as f:
         f.write(whole[cut:] + data(("terms", CATS), ("quads", [Q])))
@@ -43,7 +44,12 @@ def test_stream_is_the_batch(spark, tmp_path):
     assert got["blob"] == g.blobs.count()
     assert got["opaque"] == g.opaque.count()
     assert got["segment-start"] == g.segments.count()
-    assert union.value_quads(g).count() == 5
+    code = spark.read.parquet(str(out)).filter("kind = 'diagnostic'").select("path", F.element_at("texts", 1).alias("code")).collect()
+    want = Counter((r.path, r.code) for r in g.diagnostics.collect())
+    assert Counter((r.path.rsplit("/", 1)[-1], r.code) for r in code) == want
+    assert {"ConflictingReifier", "ForwardReference", "StreamableLayoutError", "PositionConstraint"} <= {c for _, c in want}
+    assert got["reifier"] == g.reifiers.count()
+    assert union.value_quads(g).count() == 6
 
 
 def test_source_format(spark, tmp_path):

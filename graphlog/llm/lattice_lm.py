@@ -8,6 +8,8 @@ unseen words. Pieces have the relative frequency they have in the vocabulary's o
 training words, since unseen words are what they are there for. No arc crosses a word, so a text's marginal is the
 product of its words' and its end's, and the probabilities of all texts sum to at most 1.
 
+``lattice_score`` is the same without whole-word arcs: all words, seen or not, by the marginal over their segmentations.
+
 The vocabulary file at hand holds merge ranks, no unigram probabilities, hence the estimate from the corpus.
 """
 
@@ -141,7 +143,10 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, *, text_col: str = "text", vocabulary: str = VOCABULARY, common_words: int = COMMON_WORDS) -> Trained:
-    """Learn from all of ``docs``. Word counts are gathered in the tasks and summed by word."""
+    """Learn from all of ``docs``. Word counts are gathered in the tasks and summed by word.
+
+    A null or empty text is an end alone; repeated rows count each; of an empty table, every piece is as likely.
+    """
 
     def count(batches):
         seen: Counter = Counter()
@@ -197,13 +202,15 @@ def _counted(seen: Counter) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row (null text: empty, only its end).
+    """doc_id, n_tokens, n_known, base_score, score, lattice_score of every row (null text: empty, only its end).
 
     Common words are scored where the text is. Rare ones go to the table of counts, one row for each of a document's
     distinct rare words; common words are never shuffled, so no key is hot. Repeated rows are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast((trained.common, trained.pieces))
     vocabulary, end_count, spell, total_count = trained.vocabulary, trained.ends, trained.spell, max(trained.total, 1)
+    share = min(max(end_count, ADD) / total_count, 0.5)  # the end's share of all tokens
+    end_only, word_only = float(np.log10(share)), float(np.log10(1 - share))
     end_log = float(np.log10(max(end_count, ADD) * (1 - spell if end_count else 1) / total_count))
 
     def run(batches):
@@ -211,7 +218,8 @@ def score(docs: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col
         lattice = _lattice(vocabulary, pieces)
         place = _Places((w.encode(), k) for k, (w, _) in enumerate(common))
         known = np.array([c for _, c in common] + [0], float)
-        marginal = np.append(mixed(known[:-1] / total_count, _common_scores(lattice, [w for w, _ in common]), spell), 0.0)
+        alone = _common_scores(lattice, [w for w, _ in common])
+        marginal, alone = np.append(mixed(known[:-1] / total_count, alone, spell), 0.0), np.append(alone, 0.0)
         base = np.log10(known + ADD)
         base[-1] = 0.0
         uid = TaskContext.get().partitionId() << 40
@@ -232,19 +240,19 @@ def score(docs: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col
                 for k, (w, p, r) in enumerate(zip(words, which, rare, strict=True)):
                     total = float(marginal[p].sum()) + end_log
                     own = uid + k
-                    sums = (len(w) + 1, int((p >= 0).sum()) + (end_count > 0), float(base[p].sum()) + float(np.log10(end_count + ADD)), total)
+                    sums = (len(w) + 1, int((p >= 0).sum()) + (end_count > 0), float(base[p].sum()) + float(np.log10(end_count + ADD)), total, float(alone[p].sum()) + len(w) * word_only + end_only)
                     tokens = list(r.items()) or [(b" %d" % own, 0)]
                     rows.append((own, at + k, *tokens[0], logs.get(tokens[0][0], 0.0), *sums))
-                    rows += [(own, at + k, t, n, logs[t], 0, 0, 0.0, 0.0) for t, n in tokens[1:]]
+                    rows += [(own, at + k, t, n, logs[t], 0, 0, 0.0, 0.0, 0.0) for t, n in tokens[1:]]
                 uid += stop - at
                 at = stop
                 own, row, token, n, spelled, *sums = zip(*rows, strict=True)
                 columns = [pa.array(own, pa.int64()), ids.take(pa.array(row)), pa.array(token, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(spelled, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(s, t) for s, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]], ["uid", "doc_id", "token", "n", "spelled", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(s, t) for s, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]], ["uid", "doc_id", "token", "n", "spelled", "n_tokens", "n_known", "base_score", "score", "lattice_score"])
 
     source = pick(docs, doc_id=id_col, text=text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    parts = source.mapInArrow(run, f"uid long, doc_id {kind}, token string, n long, spelled double, n_tokens long, n_known long, base_score double, score double")
+    parts = source.mapInArrow(run, f"uid long, doc_id {kind}, token string, n long, spelled double, n_tokens long, n_known long, base_score double, score double, lattice_score double")
     joined = parts.join(trained.counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     known = F.when(F.col("c") > 0, F.col("n")).otherwise(0)
     rare_base = F.when(F.col("n") > 0, F.col("n") * F.log10(F.col("c") + ADD)).otherwise(0.0)
@@ -252,9 +260,9 @@ def score(docs: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col
     whole = F.log10(F.col("c") * ((1 - spell) / total_count))
     both = F.greatest(low, whole) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(low - whole)))
     rare = F.when(F.col("n") == 0, 0.0).otherwise(F.col("n") * F.when(F.col("c") > 0, both).otherwise(low))
-    sums = joined.groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + known).alias("n_known"), F.sum(F.col("base_score") + rare_base).alias("base"), F.sum(F.col("score") + rare).alias("score"))
+    sums = joined.groupBy("uid", "doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + known).alias("n_known"), F.sum(F.col("base_score") + rare_base).alias("base"), F.sum(F.col("score") + rare).alias("score"), F.sum(F.col("lattice_score") + F.col("n") * F.col("spelled")).alias("lattice_score"))
     norm = float(np.log10(trained.total + ADD * (trained.distinct + 1)))
-    return sums.select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    return sums.select("doc_id", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score", "lattice_score")
 
 
 class _Places(dict):
@@ -274,7 +282,11 @@ def _common_scores(lattice: Lattice, common: list[str]) -> np.ndarray:
 
 
 def evaluate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Train on the documents that aren't held out and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Train on the documents that aren't held out and score all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
+
+    A null id is in training; null and empty texts are an end alone, repeated rows count and are scored each, an empty
+    table gives none.
+    """
     trained = train(docs.filter(~held_out(F.col(id_col))), text_col=text_col, **how)
     scored = score(docs, trained, id_col=id_col, text_col=text_col)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trained.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(trained.total).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")

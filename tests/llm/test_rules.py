@@ -89,6 +89,20 @@ def test_lm(spark):
     for got in out:
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
         assert sorted(round(r.score, 6) for r in got) == sorted(round(r.score, 6) for r in out[0])
+        assert sorted(round(r.lattice_score, 6) for r in got) == sorted(round(r.lattice_score, 6) for r in out[0])
+    # documents by brute force: the marginals of their words, from the model's own parts
+    train = documents(spark).filter("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 10 != 0")
+    trained = lattice_lm.train(train)
+    lattice = lattice_lm.Lattice(trained.vocabulary, trained.pieces)
+    share, spell, marginals = counts["end"] / n, trained.spell, {}
+    scored = Counter()
+    for i, t, _ in rows:
+        words = lattice_lm.words_of(t)
+        marginals |= dict(zip(new := list(set(words) - set(marginals)), lattice.score(new).tolist(), strict=True))
+        alone = sum(marginals[w] + math.log10(1 - share) for w in words) + math.log10(share)
+        both = sum(math.log10(counts[w] / n * (1 - spell) + spell * 10 ** marginals[w]) if marginals[w] > -300 else math.log10(counts[w] / n * (1 - spell)) if counts[w] else marginals[w] + math.log10(spell) for w in words)
+        scored[i, round(alone, 4), round(both + math.log10(share * (1 - spell)), 4)] += 1
+    assert Counter((r.doc_id, round(r.lattice_score, 4), round(r.score, 4)) for r in out[2]) == scored
     assert lattice_lm.evaluate(documents(spark, [])).count() == 0
     assert lattice_lm.evaluate(documents(spark, [(None, None, None)])).head().n_tokens == 1
 

@@ -16,6 +16,7 @@ from .operators import policy, replication, summary
 from .plans.stored import stored
 from .schema import FoldedGraph
 from .sinks import logs
+from .sources import rdf
 from .sources.log import items_of_files
 
 SHOP = {"shop": "urn:shop#"}
@@ -76,6 +77,21 @@ def written(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, FoldedGr
     return _HELD[key]
 
 
+@query(
+    r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '//') WHEN 2 THEN url || ' x' ELSE url || '|' END AS iri, CASE WHEN page_id % 3 = 0 THEN 'en-' || page_id WHEN page_id % 3 = 1 THEN 'e_n' ELSE 'de' END AS tag FROM pages),
+b AS (SELECT *, page_id % 20 = 7 AS lit, NOT regexp_matches(iri, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(iri, '[\x00-\x20<>"{}|^`\\]') AS bad, NOT regexp_matches(tag, '^[A-Za-z]{1,8}(-[A-Za-z0-9]{1,8})*$') AS wrong FROM u WHERE iri IS NOT NULL)
+SELECT page_id, CASE WHEN lit THEN 'subject is a literal' WHEN bad THEN 'IRI isn''t absolute' ELSE 'malformed language tag' END AS why FROM b WHERE lit OR bad OR wrong"""
+)
+def import_problems(spark, d):
+    """Statements that may not be imported (P20)."""
+    n = F.col("page_id") % 4
+    iri = F.when(n == 0, F.col("url")).when(n == 1, F.replace("url", F.lit("://"), F.lit("//"))).when(n == 2, F.concat("url", F.lit(" x"))).otherwise(F.concat("url", F.lit("|")))
+    tag = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("en-"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, "e_n").otherwise("de")
+    s = F.when(F.col("page_id") % 20 == 7, '"text"').otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+    rows = table(spark, d, "pages").filter("url is not null").select("page_id", s.alias("s"), F.lit("<urn:p>").alias("p"), F.concat(F.lit('"x"@'), tag).alias("o"), F.lit(None).cast("string").alias("g"))
+    return rdf.problems(rows).select("page_id", "why")
+
+
 @query(f"{_C} SELECT path, s, p, o, g FROM v")
 def log_quads(spark, d):
     """The union of a file's segments by value."""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import shutil
 import sqlite3
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import union
 from ..fold import blob_bytes
@@ -96,7 +98,30 @@ def to_duckdb(g: FoldedGraph, path: str) -> None:
 
 
 def dump(g: FoldedGraph, folder: str) -> None:
-    """Everything as JSON lines by table, segments apart, and the folded N-Quads as text."""
-    for name, df in g.tables().items():
-        df.write.mode("error").partitionBy(*[c for c in ("seg",) if c in df.columns]).json(f"{folder}/{name}")
-    union.nquads(g).select("line").write.text(f"{folder}/folded.nq")
+    """Everything as JSON lines by table, segments apart, blobs with their bytes, the folded N-Quads as text, and
+    ``manifest.json``: rows by table, and every segment with its profile and head.
+
+    The folder appears whole or not at all: it is written beside its place and renamed in the store it lies in.
+    """
+    spark = g.terms.sparkSession
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store, stage = path(folder).getFileSystem(spark._jsc.hadoopConfiguration()), f"{folder.rstrip('/')}.part"
+    if store.exists(path(folder)):
+        raise ValueError(f"{folder} is there already")
+    store.delete(path(stage), True)
+    try:
+        counts = {}
+        for name, df in g.tables().items():
+            df = blob_bytes(df) if name == "blobs" else df
+            df.write.partitionBy(*[c for c in ("seg",) if c in df.columns]).json(f"{stage}/{name}")
+            counts[name] = df.count()
+        union.nquads(g).select("line").write.text(f"{stage}/folded.nq")
+        segments = g.segments.orderBy("path", "seg").select("path", "seg", "profile", F.lower(F.hex("head")).alias("head")).toLocalIterator()
+        manifest = {"tables": counts, "segments": [r.asDict() for r in segments]}
+        out = store.create(path(f"{stage}/manifest.json"), True)
+        out.write(bytearray(json.dumps(manifest, indent=1, sort_keys=True).encode()))
+        out.close()
+        if not store.rename(path(stage), path(folder)):
+            raise OSError(f"{stage} can't be renamed")
+    finally:
+        store.delete(path(stage), True)

@@ -10,7 +10,7 @@ import re
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import RDF
@@ -174,8 +174,17 @@ def yamlld_text(rows: DataFrame) -> str:
     return yaml.safe_dump(json.loads(jsonld_text(rows)), sort_keys=False, allow_unicode=True)
 
 
+def beyond_rdf11() -> Column:
+    """Whether a statement has a triple term or a direction."""
+    return F.col("s").startswith("<<( ") | F.col("o").startswith("<<( ") | F.col("o").rlike('"@[A-Za-z0-9-]+--(ltr|rtl)$')
+
+
 def rdf11(rows: DataFrame, *, lossy: bool = False) -> DataFrame:
     """Statements that RDF 1.1 has: without triple terms and directions. Strict, it refuses; lossy, it leaves them out."""
-    new = F.col("s").startswith("<<( ") | F.col("o").startswith("<<( ") | F.col("o").rlike('"@[A-Za-z0-9-]+--(ltr|rtl)$')
+    new = beyond_rdf11()
     return rows.filter(~new) if lossy else rows.filter(~new | F.raise_error(F.concat(F.lit("RDF 1.2 only: "), "o")).isNotNull())
 
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statements for an RDF 1.1 store, and the sidecar that holds the rest; their union is what came in."""
+    return rows.filter(~beyond_rdf11()), rows.filter(beyond_rdf11())

@@ -122,8 +122,10 @@ class _File(InputPartition):
 
 
 class _LogReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most_bytes: int | None = None):
+        self.path, self.most_bytes = path, most_bytes
+        if "://" in path.removeprefix("file://"):
+            raise ValueError(f"{path}: this source reads mounted folders; read_items reads any store")
 
     def partitions(self):
         top = self.path.removeprefix("file:")
@@ -132,12 +134,17 @@ class _LogReader(DataSourceReader):
         return [_File(p) for p in sorted(glob.glob(top))]
 
     def read(self, partition):
+        if self.most_bytes is not None and os.path.getsize(partition.path) > self.most_bytes:
+            raise ValueError(f"file too large: {partition.path}")
         with open(partition.path, "rb") as f:
             yield from items_of(partition.path, f.read())
 
 
 class LogDataSource(DataSource):
-    """``spark.read.format("graphlog").load(path)``: one partition for each file of a mounted folder."""
+    """``spark.read.format("graphlog").load(path)``: one partition for each file of a mounted folder.
+
+    Option ``mostBytes`` refuses larger files before they are read.
+    """
 
     @classmethod
     def name(cls):
@@ -147,4 +154,5 @@ class LogDataSource(DataSource):
         return ITEMS
 
     def reader(self, schema):
-        return _LogReader(self.options["path"])
+        most = self.options.get("mostBytes")
+        return _LogReader(self.options["path"], None if most is None else int(most))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import RDF
+from ..functions.text import RDF, absolute_iri, language_tag
 from . import jsonld, rdfxml, terse
 
 STATEMENTS = "path string, s string, p string, o string, g string"
@@ -61,6 +61,38 @@ def statements(spark: SparkSession, text: str, form: str, name: str = "text") ->
     return spark.createDataFrame([(name, *t) for t in PARSERS[form](text)], STATEMENTS)
 
 
+def dataset(spark: SparkSession, quads, name: str = "dataset") -> DataFrame:
+    """Statements of a dataset at hand: an iterable of (s, p, o) or (s, p, o, g).
+
+    A term is a token in N-Triples syntax or any object with ``n3()``; a graph may be null, a token, or an object that is
+    named by its ``identifier``. The dataset is the driver's already; larger ones come as text.
+    """
+
+    def token(x) -> str | None:
+        x = getattr(x, "identifier", x)
+        return x if x is None or (isinstance(x, str) and not hasattr(x, "n3")) else x.n3()
+
+    return spark.createDataFrame([(name, *map(token, (*q, None)[:4])) for q in quads], STATEMENTS)
+
+
+def problems(rows: DataFrame) -> DataFrame:
+    """Statements that no RDF text may hold, with ``why``: kinds of terms in wrong places, IRIs that aren't absolute or
+    hold forbidden characters, malformed language tags. What is inside a triple term was parsed with it."""
+    s, p, o, g = map(F.col, "spog")
+    iri = lambda c: c.startswith("<") & ~c.startswith("<<(")
+    bad = lambda c: iri(c) & ~absolute_iri(F.substring(c, F.lit(2), F.length(c) - 2))
+    tag = F.regexp_extract(o, r'"@([^"]*?)(--(?:ltr|rtl))?$', 1)
+    tagged = o.rlike(r'"@[^"]*$')
+    why = (
+        F.when(~iri(s) & ~s.startswith("_:") & ~s.startswith("<<("), "subject is a literal")
+        .when(~iri(p), "predicate is no IRI")
+        .when(g.isNotNull() & ~iri(g) & ~g.startswith("_:"), "graph is no IRI or blank node")
+        .when(bad(s) | bad(p) | bad(o) | F.coalesce(bad(g), F.lit(False)), "IRI isn't absolute")
+        .when(tagged & ~language_tag(tag), "malformed language tag")
+    )
+    return rows.withColumn("why", why).filter("why is not null")
+
+
 def classified(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Statements as (quads, reifiers, annotations).
 

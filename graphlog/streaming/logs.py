@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -211,13 +211,16 @@ def events(items: DataFrame, *, keys: dict[str, bytes] | None = None, signers: d
     return items.groupBy("path").applyInPandasWithState(_update(keys or {}, signers), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def route(stream: DataFrame, folder: str, checkpoint: str):
-    """Events into a Parquet table for each kind below ``folder``; a batch that runs again replaces its own files."""
+def route(stream: DataFrame, folder: str | None, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None):
+    """Events into a Parquet table for each kind below ``folder``; a batch that runs again replaces its own files.
+
+    ``sink`` takes a batch's events and its number instead; it may be called again with the same number.
+    """
 
     def save(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/batch={n}")
 
-    return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(sink or save).option("checkpointLocation", checkpoint)
 
 
 def offsets(checkpoint: str) -> dict[str, int]:

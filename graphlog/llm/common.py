@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -71,6 +72,15 @@ def resident(key, make):
     return _RESIDENT[key]
 
 
+def lighten() -> None:
+    """A worker that has served other operators lets go of what they left: memos, and pages that its allocator holds."""
+    _RESIDENT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Cache(dict):
     """A bounded memo in two generations: ``make`` fills it on a miss; when the young one is full it becomes the old.
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pick, text_groups, word_hashes
+from .common import cut, lighten, mix, pick, text_groups, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (hash of the text), node (digest of the words; null without words), n shingles, labels."""
 
     def run(batches):
+        lighten()
         forest = Forest()
         for batch in (g for b in batches for g in text_groups(b, "text")):
             rows = []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_groups, word_hashes
+from .common import cut, lighten, mix, text_groups, word_hashes
 
 WINDOW = 13
 GRAM = 5
@@ -37,7 +37,7 @@ GRAM = 5
 SHARD_BYTES = 2_000_000
 LEAST_SHARDS = 8
 #: Anchors and words a task gathers before it passes them on.
-GATHER = 4_000_000
+GATHER = 2_000_000
 #: From so many stretches on an anchor is split by windows, or from more, so that at most MOST_HEAVY anchors are.
 HEAVY, MOST_HEAVY = 20_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -144,6 +144,7 @@ def _report_anchors(shards: int):
         return pa.RecordBatch.from_arrays(columns, ["shard", "known", "keys", "counts", "anchors", "runs"])
 
     def run(batches):
+        lighten()
         keys, anchors, held = [], [], 0
         for batch in (g for b in batches for g in text_groups(b, "text")):
             w = Windows(batch.column("text").to_pylist())
@@ -231,6 +232,7 @@ def _send_stretches(shards: int, heavy: np.ndarray | None = None, window: int =
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(done), *[pa.array(x, pa.binary()) for x in data]], names)
 
     def run(batches):
+        lighten()
         seen: dict[bytes, list] = {}
         settled: list[tuple[int, int, int, int]] = []
         held = 0

@@ -82,7 +82,7 @@ def problems(rows: DataFrame) -> DataFrame:
     iri = lambda c: c.startswith("<") & ~c.startswith("<<(")
     bad = lambda c: iri(c) & ~absolute_iri(F.substring(c, F.lit(2), F.length(c) - 2))
     tag = F.regexp_extract(o, r'"@([^"]*?)(--(?:ltr|rtl))?$', 1)
-    tagged = o.rlike(r'"@[^"]*$')
+    tagged = o.startswith('"') & o.rlike(r'"@[^"]*$')
     why = (
         F.when(~iri(s) & ~s.startswith("_:") & ~s.startswith("<<("), "subject is a literal")
         .when(~iri(p), "predicate is no IRI")

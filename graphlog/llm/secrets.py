@@ -40,7 +40,8 @@ PROVIDERS = r"^(AKIA|ASIA|AIza|gh[oprsu]_|github_pat_|glpat-|npm_|pypi-|sk-|[rs]
 SECRET_WORDS = r"(?i)(secret(?!ar)|token(?!i)|passw|pwd|api.?key|access.?key|private|credential|auth(?!or(?!i[sz]))|bearer|signature)"
 HARMLESS_WORDS = r"(?i)(commit|sha1|sha256|sha-|md5|checksum|digest|hash|uuid|guid|revision|blob|etag|version|order|invoice|isbn|example|sample|dummy|placeholder|build|release|integrity)"
 #: A value assigned to a secret word's name: the rest of the name, the sign. The short lookbehinds spare most places the long one.
-_ASSIGNED = rf"(?<=[\s:=>\"'`])(?<=[:=>][\s\"'`\\]{{0,4}})(?<={SECRET_WORDS.replace('(?i)(', '(?i:')}[A-Za-z0-9_.-]{{0,16}}[\"'`\]\\]{{0,3}}\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}"
+_AFTER_SIGN = r"(?<=[\s:=>\"'`])(?<=[:=>][\s\"'`\\]{0,4})"
+_ASSIGNED = rf"(?<={SECRET_WORDS.replace('(?i)(', '(?i:')}[A-Za-z0-9_.-]{{0,16}}[\"'`\]\\]{{0,3}}\s{{0,2}}[:=]{{1,2}}>?\s{{0,2}}"
 _BARE = r"[^\s\"'`\\<>&,;|()\[\]{}"
 #: Private keys in PEM blocks, and passwords in a URL's authority.
 _PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-{1,4}(?!-)[^-]*+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
@@ -51,8 +52,7 @@ CANDIDATE = "|".join(
     [
         _PEM,
         _AUTHORITY,
-        _ASSIGNED + r"\\?[\"'`])[^\s\"'`\\]{4,}",
-        _ASSIGNED + rf")(?!(?i:bearer|basic|token|digest)\s){_BARE}]{{3,}}{_BARE}.:?]",
+        _AFTER_SIGN + "(?:" + _ASSIGNED + r"\\?[\"'`])[^\s\"'`\\]{4,}|" + _ASSIGNED + rf")(?!(?i:bearer|basic|token|digest)\s){_BARE}]{{3,}}{_BARE}.:?])",
         r"(?<=[rRcC]\s)(?<=(?i:\bbearer|authorization: basic)\s)[A-Za-z0-9._~+/-]{7,}[A-Za-z0-9_~+/-]={0,2}",
         r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}",
     ]
@@ -229,8 +229,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", for
     source = pick(docs, doc_id=id_col, text=text_col)
     judged = with_candidates(source, forest or default_forest(docs.sparkSession))
     placed = _let(F.struct("parts", "found"), lambda z: _let(_sums(z["parts"], z["found"]), lambda sums: F.transform(z["found"], lambda x, k: F.struct(_start(sums, z["parts"], k).alias("start"), x["candidate"].alias("candidate"), x["before"].alias("before"), x["probability"].alias("probability")))))
-    # the outer form: for the other the planner adds a filter on all of ``found``, which runs the pattern many times over
-    spans = judged.filter(F.size("parts") > 1).select("doc_id", F.posexplode_outer(placed).alias("ordinal", "x"))
+    # the outer form, and no filter before it: either would run the pattern over every text once more
+    spans = judged.select("doc_id", F.posexplode_outer(placed).alias("ordinal", "x")).filter("ordinal is not null")
     return spans.select("doc_id", "ordinal", "x.start", F.length("x.candidate").cast("long").alias("length"), "x.before", "x.candidate", "x.probability", (F.col("x.probability") > threshold).alias("secret"))
 
 
@@ -244,6 +244,7 @@ def _sums(parts: Column, found: Column) -> Column:
     size = lambda k: (F.length(F.get(parts, k)) + F.length(F.get(found, k)["candidate"])).cast("long")
     grown = lambda values, of: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
     runs = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int"))
+    runs = F.when(F.size(found) > 0, runs).otherwise(F.array().cast("array<int>"))
     within = F.transform(runs, lambda r: grown(F.sequence(r * RUN, F.least(r * RUN + RUN, F.size(found)) - 1), size))
     return _let(within, lambda w: F.struct(w.alias("within"), grown(w, lambda x: F.element_at(x, -1)).alias("before")))
 

@@ -105,6 +105,16 @@ class Cache(dict):
                 self.clear()
             self[key] = value
 
+    def put_all(self, found: dict) -> None:
+        """``put`` for many."""
+        if max(map(len, found), default=0) > self.longest:
+            found = {key: value for key, value in found.items() if len(key) <= self.longest}
+        if len(self) + len(found) <= self.limit:
+            self.update(found)
+        else:
+            for key, value in found.items():
+                self.put(key, value)
+
 
 def below(text: str, limit: str) -> bool:
     """Whether all characters of a text are below ``limit``, which is beyond Latin-1."""

@@ -8,9 +8,10 @@ all are open, the fullest closes first.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import Cache, below, pick, resident, tokenizer_path
 
 CAPACITY = 2048
@@ -31,7 +33,28 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Below this there are no combining marks, and lower-casing a text is lower-casing its characters one by one.
 PLAIN = "\u0300"
-_CLOSED = re.compile(r"(?<=[a-zß-öø-ÿ])([^\s\w]+)(?=[ \n])")
+#: Marks of Latin-1 that close a chunk after a letter. They stand first, so that a search skips to them.
+_MARKS = "".join(re.escape(c) for c in map(chr, range(256)) if re.match(r"[^\s\w]", c))
+_CLOSED = re.compile(rf"([{_MARKS}](?<=[a-zß-öø-ÿ].)[{_MARKS}]*)(?=[ \n])")
+#: For each line, itself if it is letters alone that neither composing nor lower-casing changes, or nothing.
+_LETTERS = re.compile(rf"^(?:([{''.join(c for c in map(chr, range(ord(PLAIN))) if c.isalpha() and c == c.lower())}]++)|.*)$", re.MULTILINE)
+#: The layout for which lower-case letters need no more than the merges.
+_NORMAL = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _merges_only(tokenizer):
+    """A tokenizer of the same merges alone, over byte letters between spaces; None if the layout isn't the known one."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    spec = json.loads(tokenizer.to_str())
+    normal = [(n["type"], n.get("pattern")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    split = [(n["type"], n.get("pattern"), n.get("add_prefix_space")) for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    if normal != _NORMAL or split != [("Split", {"Regex": _SPLIT}, None), ("ByteLevel", None, False)] or spec["post_processor"]:
+        return None
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return bare
 
 
 class Words:
@@ -47,13 +70,16 @@ class Words:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        self.simple = lower and bool(self.last.any())
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.simple = lower and bool(self.last.any()) and not any(map(str.isalpha, added))
+        self.bare = _merges_only(self.tokenizer) if self.simple else None
+        self.letters = {b: c for c, b in byte_letters().items() if b != 32}
         #: How special tokens begin; a text with one is left as it is.
-        self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.special = {t[:2] for t in added}
         self.memo = Cache(self._one, limit=250_000)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.asarray((tokenizer or self.tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 
     def _one(self, chunk: bytes) -> bytes:
         return self._ids(chunk.decode()).tobytes()
@@ -61,27 +87,45 @@ class Words:
     def chunks(self, text: str) -> list[bytes]:
         if self.simple and not any(mark in text for mark in self.special) and below(text, PLAIN):
             # the tokenizer lower-cases, and it parts letters from the marks that close a chunk
-            return _CLOSED.sub(r" \1", text.lower()).encode().split()
+            text = _CLOSED.sub(r" \1", text.lower())
         return text.encode().split()
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Memo entries for many chunks; those of letters alone are one word each and go through in one call."""
-        memo, old = self.memo, self.memo.old
-        new = [c for c in chunks if c not in memo and c not in old and len(c) <= memo.longest and c.decode().isalpha()] if self.simple else []
-        for at in range(0, len(new), 2_000):
-            part = new[at : at + 2_000]
-            ids = self._ids(b" ".join(part).decode())
+    def _words(self, chunks: list[bytes], bare: bool) -> Iterator[bytes]:
+        """The ids of chunks of letters alone, which are one word each and go through many in a call."""
+        for at in range(0, len(chunks), 2_000):
+            part = chunks[at : at + 2_000]
+            text = b" ".join(part)
+            ids = self._ids(text.decode("latin-1").translate(self.letters), self.bare) if bare else self._ids(text.decode())
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part):
-                data = ids.tobytes()
-                for c, a, b in zip(part, [0, *(ends[:-1] * 4).tolist()], (ends * 4).tolist(), strict=True):
-                    memo.put(c, data[a:b])
+                data, ends = ids.tobytes(), (ends * 4).tolist()
+                yield from (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            else:
+                yield from map(self._one, part)
+
+    def look_up(self, chunks: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of each distinct chunk: from the memo, or by the tokenizer, as much as possible in one go."""
+        memo, ids = self.memo, dict.fromkeys(chunks)
+        ids.update(zip(list(ids), map(memo.get, ids), strict=True))
+        lacking = [c for c, data in ids.items() if data is None]
+        found = dict(zip(lacking, map(memo.old.get, lacking), strict=True))
+        new = [c for c, data in found.items() if data is None]
+        if new and self.bare:
+            words = [c for c, letters in zip(new, _LETTERS.findall(b"\n".join(new).decode()), strict=True) if letters]
+            found.update(zip(words, self._words(words, True), strict=True))
+            new = [c for c in new if found[c] is None]
+        if new and self.simple:
+            words = [c for c in new if c.decode().isalpha()]
+            found.update(zip(words, self._words(words, False), strict=True))
+        found.update([(c, self._one(c)) for c in new if found[c] is None])
+        memo.put_all(found)
+        ids.update(found)
+        return ids
 
     def documents(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text and the closing id 0; a null text counts as empty."""
         parts = [self.chunks(t or "") for t in texts]
-        self.learn(set(itertools.chain.from_iterable(parts)))
-        get = self.memo.__getitem__
+        get = self.look_up(itertools.chain.from_iterable(parts)).__getitem__
         return [b"".join(map(get, p)) + END for p in parts]
 
 

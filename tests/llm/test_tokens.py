@@ -51,6 +51,34 @@ def test_packing_ids_are_the_librarys():
         assert np.frombuffer(packing.document_ids(text, "word_bpe_49k.json"), "<u4").tolist() == [*ids, 0]
 
 
+def test_packing_words_need_the_merges_alone():
+    """Lower-case letters don't go through normalizer and pre-tokenizer, whose time is most of a word's."""
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def encode(self, text, **how):
+            self.texts.append(text)
+            return self.inner.encode(text, **how)
+
+    library, tokens = tokenizer("word_bpe_49k.json"), packing.Words("word_bpe_49k.json")
+    tokens.tokenizer = seen = Seen(library)
+    tokens.memo.limit, rng = 700, random.Random(8)  # so small that generations change
+    letters = "abcdefghijklmnopqrstuvwxyzßàéöøÿąčłşžǆʼn"
+    words = ["".join(rng.choices(letters, k=rng.randrange(1, 90 if k % 50 == 0 else 12))) for k in range(5_000)]
+    plain = [" ".join(rng.choice([w, w.upper(), w.title()]) + rng.choice(["", "", ",", ".\n", "!?", "»", "'", "”"]) for w in words[k : k + 100]) for k in range(0, 5_000, 100)]
+    plain = [t.replace("”", "") if k % 5 else t for k, t in enumerate(plain)]
+    odd = ["abc<|endoftext|>, abc, <|ENDOFTEXT|>, x", "12, a1, 1a. %%%, a%%%, a,% a_, _a.", "don't, we'll. it's' they're, 'tis", "слово слово, 漢字 가나", "a\u0301 e\u0301, İstanbul, ŉ ſ ª, º. a²,", "x\x1c, y\x85. z\xa0, a\xad, \x00, a\x00 ", "", " \n"]
+    for texts in (plain[:20], odd + plain[20:], odd + plain, [None]):
+        want = [np.asarray([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for t in texts]
+        assert tokens.documents(texts) == want
+    assert len(tokens.memo) <= 700 and len(tokens.memo.old) <= 700
+    seen.texts.clear()
+    tokens.documents(["alpha beta, gamma.\nqwxzalpha qwxzbeta, déjà vu"])
+    assert not [t for t in seen.texts if any(c.isalpha() for c in t)]
+
+
 def test_packing(spark):
     library = tokenizer("word_bpe_49k.json")
     rows = packing.pack(documents(spark), with_ids=True).collect()

@@ -149,9 +149,12 @@ def entity_pivot(spark, d):
 
 @query("SELECT o_orderkey AS reifier, o_custkey AS s, count(l_orderkey) AS annotations, arg_max(l_shipdate, l_linenumber * 100000 + l_partkey) AS last_value FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def statement_annotations(spark, d):
-    notes = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey")
+    """Of notes that tie for the last place the first in the table counts, as where one thread runs the SQL, which leaves it open; notes without a date are counted only."""
+    order = F.col("l_linenumber") * 100000 + F.col("l_partkey")
+    place = F.when(order.isNotNull() & F.col("l_shipdate").isNotNull(), F.struct(F.bitwise_not(order).alias("back"), "_metadata.file_path", "_metadata.row_index"))
+    notes = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", place.alias("place"))
     both = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(notes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    last = F.max_by("l_shipdate", F.col("l_linenumber") * 100000 + F.col("l_partkey"))
+    last = F.min_by("l_shipdate", "place")
     return both.groupBy(F.col("o_orderkey").alias("reifier"), F.col("o_custkey").alias("s")).agg(F.count("l_orderkey").alias("annotations"), last.alias("last_value"))
 
 
